@@ -9,11 +9,14 @@ after lowering A-Z.  A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,6 +41,22 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
         start = stop
 
 
+def appended(docs: DataFrame, made: Callable[[pa.RecordBatch], list[pa.Array]], added: dict[str, str], text: str) -> DataFrame:
+    """``docs`` with columns made from batches; a column of the same name (whatever its case) is replaced."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in added}]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made(part)], names=[*names, *added])
+
+    schema = StructType(kept)
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -132,14 +151,44 @@ def segment_sums(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_codes(lowered: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the ``size``-byte grams inside rows, and the pointers of the rows in them."""
-    n = len(lowered) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    codes = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
-        codes = codes * U64(0x9E3779B97F4A7C15) + BYTE_CODES[lowered[k : k + n]]
-    good = windows_of(offsets, len(lowered), size)
-    lengths = np.maximum(np.diff(offsets) - (size - 1), 0)
-    return mix(codes[good]), np.concatenate([[0], np.cumsum(lengths)])
+def rolling_grams(lowered: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, 32-bit hashes of the ``size`` bytes from each position on), sizes ascending; rows are not looked at."""
+    codes = (BYTE_CODES >> U64(32)).astype(np.uint32)[lowered]
+    total = np.zeros(len(lowered), dtype=np.uint32)
+    for size in range(1, min(max(sizes), len(lowered)) + 1):
+        total = total[: len(lowered) - size + 1] * np.uint32(0x01000193) + codes[size - 1 :]
+        if size in sizes:
+            h = (total ^ (total >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            yield size, h ^ (h >> np.uint32(13))
+
+
+def row_grams(lowered: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the grams inside rows, pointers of the rows in them) for each size that occurs."""
+    for size, codes in rolling_grams(lowered, sizes):
+        lengths = np.maximum(np.diff(offsets) - (size - 1), 0)
+        yield codes[windows_of(offsets, len(lowered), size)], np.concatenate([[0], np.cumsum(lengths)])
+
+
+def summed_vectors(rows, width: int):
+    """Add up rows ``(name, slice, counts)`` of int64 vectors by name and slice; each sum has a fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for name, part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = sums.setdefault((name, part), np.zeros(width, dtype=np.int64))
+                own += np.frombuffer(counts.as_buffer(), "<i8")
+        if sums:
+            yield vector_rows([(*k, v) for k, v in sums.items()])
+
+    return rows.repartition("name", "slice").mapInArrow(add, VECTOR_ROWS)
+
+
+VECTOR_ROWS = "name string, slice int, counts binary"
+
+
+def vector_rows(rows: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].astype("<i8").tobytes() for r in rows], pa.binary())],
+        names=["name", "slice", "counts"],
+    )
