@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontamination, language, toxicity
+from leafmill.llm import _store, decontamination, language, packing, token_files, toxicity
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, a row for each piece."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = packing.pack(docs, tokenizer=tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +60,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as directly addressable files and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = token_files.write(docs, _store.new_folder(spark, "tokens"), tokenizer=tokenizer_path())
+    return token_files.read(spark, files)
+
+
 OP4_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -70,8 +90,10 @@ FROM low LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {"op4_decontamination": OP4_SQL}
