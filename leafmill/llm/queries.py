@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import _store, decontamination, language, packing, token_files, toxicity
+from leafmill.llm import _store, decontamination, fingerprints, language, packing, token_files, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -60,6 +60,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the index."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = warc.write(pages, _store.new_folder(spark, "warc"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of edited ones, and their likeness."""
+    return fingerprints.compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as directly addressable files and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -89,11 +101,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM low LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, hex,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST(1 + ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY hex) AS first
+      FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
+    "op6_fingerprints": op6_fingerprints,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL = {"op4_decontamination": OP4_SQL}
+ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL}
