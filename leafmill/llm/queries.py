@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import _store, decontamination, fingerprints, language, packing, token_files, toxicity, warc
+from leafmill.llm import _store, decontamination, fingerprints, language, lm_scoring, packing, token_files, toxicity, url_rules, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -72,6 +72,28 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; texts labelled of quality 1 are the target."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    model = lm_scoring.train(docs.join(_store.written(good, "target-ids"), "doc_id", "left"))
+    return lm_scoring.score(docs, model).drop("text")
+
+
+#: The listed rules, verdict and host/path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; labels are those of the document whose number ends the path."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and (quality is not null or toxic is not null)")
+    bad = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    number = F.regexp_extract(url_rules.path(F.col("url")), "([0-9]+)[^0-9]*$", 1).try_cast("bigint")
+    labelled = pages.select("url", number.alias("doc_id")).join(_store.written(bad, "url-labels"), "doc_id").select("url", "bad")
+    return url_rules.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as directly addressable files and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -120,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op9_url_rules": op9_url_rules,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL}
