@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import _store, decontamination, fingerprints, language, lm_scoring, packing, token_files, toxicity, url_rules, warc
+from leafmill.llm import _store, decontamination, fingerprints, jaccard_join, language, lm_scoring, packing, token_files, toxicity, url_rules, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -80,6 +80,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, model).drop("text")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: class and links of each."""
+    return jaccard_join.linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: The listed rules, verdict and host/path.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_rules": op9_url_rules,
     "op10_token_files": op10_token_files,
 }
