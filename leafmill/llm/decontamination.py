@@ -3,8 +3,8 @@
 Every window of ten consecutive words of a benchmark item (an item of fewer words
 is one window) goes into a hash set.  Training texts are scanned window by window
 against it; each hit is verified word by word before it counts.  The set is sent in
-blocks of at most ``block_windows`` windows, so a broadcast never outgrows that
-bound whatever the benchmark's size; the blocks' hits are united per document.
+blocks of about ``block_windows`` windows, so a broadcast never outgrows that bound
+whatever the benchmark's size; a batch is scanned against one block after another.
 
 Defined results: null and empty texts have no words and no hits; null item texts
 give no window; repeated documents give repeated rows; windows that several items
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import _text
 
-REPORT = "struct<n_words:bigint,spans:array<struct<first:int,stop:int,start_byte:int,end_byte:int>>,items:array<string>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("start_byte", pa.int32()), ("end_byte", pa.int32())]))
 _BITS = 20
 
@@ -85,15 +84,18 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, size: int, block_win
         yield WindowSet(windows)
 
 
-def _scan(batch: pa.RecordBatch, text: str, windows: WindowSet) -> tuple[pa.Array, pa.Array, pa.Array]:
-    words = _text.Words(batch.column(text))
-    rows = batch.num_rows
+def _scan(column: pa.Array, blocks: list) -> tuple[pa.Array, pa.Array, pa.Array]:
+    words = _text.Words(column)
+    rows = len(column)
     edge = np.zeros(len(words.starts) + 1, dtype=np.int32)
     items: list[set[str]] = [set() for _ in range(rows)]
-    for i, size, held in windows.hits(words):
-        edge[i] += 1
-        edge[i + size] -= 1
-        items[int(np.searchsorted(words.first, i, side="right")) - 1].update(held)
+    for block in blocks:
+        for i, size, held in block.value.hits(words):
+            edge[i] += 1
+            edge[i + size] -= 1
+            items[int(np.searchsorted(words.first, i, side="right")) - 1].update(held)
+        if len(blocks) > 1:
+            del block._value  # one block in memory at a time; the next look loads it again
     hit = np.cumsum(edge)[:-1] > 0
     spans: list[list[dict]] = [[] for _ in range(rows)]
     if hit.any():
@@ -110,34 +112,17 @@ def _scan(batch: pa.RecordBatch, text: str, windows: WindowSet) -> tuple[pa.Arra
 def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_windows: int = 1_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``) with ``n_words``, hit ``spans`` (in words and bytes) and ``items`` found."""
     spark = docs.sparkSession
-    scanned = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    kept = docs.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words bigint, spans array<struct<first:int,stop:int,start_byte:int,end_byte:int>>, items array<string>"
-
-    def over(windows: WindowSet) -> DataFrame:
-        shared = spark.sparkContext.broadcast(windows)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in _text.slices(batch, "__text"):
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *_scan(part, "__text", shared.value)], names=[*keep, "n_words", "spans", "items"])
-
-        return scanned.mapInArrow(scan, schema)
-
-    parts = [over(b) for b in _blocks(items, item_id, item_text, size, block_windows)] or [over(WindowSet({}))]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    united = whole.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # spans of several blocks may overlap: fold them, in order, into disjoint ones
-    folded = F.expr("""aggregate(array_sort(s), cast(array() as array<struct<first:int,stop:int,start_byte:int,end_byte:int>>), (a, x) ->
-        if(size(a) > 0 and try_element_at(a, -1).stop >= x.first,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('first', try_element_at(a, -1).first, 'stop', greatest(try_element_at(a, -1).stop, x.stop),
-                  'start_byte', try_element_at(a, -1).start_byte, 'end_byte', greatest(try_element_at(a, -1).end_byte, x.end_byte)))),
-           concat(a, array(x))))""")
-    return united.select(*keep, "n_words", folded.alias("spans"), "items")
+    scanned = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("__text"))
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, size, block_windows)]
+    part_bytes = (1 if len(blocks) < 2 else 16) << 20
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch, "__text", part_bytes):
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *_scan(part.column("__text"), blocks)], names=[*keep, "n_words", "spans", "items"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema if f.name != "__text")
+    return scanned.mapInArrow(scan, f"{kinds}, n_words bigint, spans array<struct<first:int,stop:int,start_byte:int,end_byte:int>>, items array<string>")
 
 
 def n_hit(spans: str = "spans"):
