@@ -79,7 +79,7 @@ def is_lock_file(path: Column) -> Column:
 
 def is_hidden_member(name: Column) -> Column:
     """A part of the archive path is ``__MACOSX`` or begins with a dot."""
-    return F.exists(F.split(name, r"[/\\]"), lambda p: (p == "__MACOSX") | p.startswith("."))
+    return F.exists(F.split(name, r"[/\\]"), lambda p: (p == "__MACOSX") | (p.startswith(".") & ~p.isin(".", "..")))
 
 
 def natural_key(name: Column) -> Column:
