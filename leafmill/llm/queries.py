@@ -76,7 +76,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document; texts labelled of quality 1 are the target."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    model = lm_scoring.train(docs.join(_store.written(good, "target-ids"), "doc_id", "left"))
+    marked = docs.join(_store.written(good, "target-ids").hint("merge"), "doc_id", "left")  # one plan at every size
+    model = lm_scoring.train(marked)
     return lm_scoring.score(docs, model).drop("text")
 
 
