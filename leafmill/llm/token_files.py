@@ -41,10 +41,10 @@ def encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     levels, rest = [], ids.astype(np.uint32)
     while True:
         on = rest > 0xFF
-        ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(on, np.arange(0, len(on), RANK_STEP), dtype=np.int64))[:-1]]) if len(on) else np.zeros(0)
+        if not on.any():  # the last level needs no bits
+            return [*levels, ((rest & 0xFF).astype(np.uint8), np.zeros(0, np.uint8), np.zeros(0, "<u4"))]
+        ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(on, np.arange(0, len(on), RANK_STEP), dtype=np.int64))[:-1]])
         levels.append(((rest & 0xFF).astype(np.uint8), np.packbits(on, bitorder="little"), ranks.astype("<u4")))
-        if not on.any():
-            return levels
         rest = rest[on] >> np.uint32(8)
 
 
