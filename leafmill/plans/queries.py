@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import geometry, names, parsers, text
-from leafmill.operators import batches, images, pages
-from leafmill.sources import html
+from leafmill.functions import geometry, names, parsers, recognition, text
+from leafmill.operators import batches, images, pages, pdf_files
+from leafmill.sources import documents, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -594,3 +594,33 @@ def page_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:.1f} KB', n_chars / 1024.0) ELSE format('{:.2f} MB', n_chars / 1048576.0) END AS size FROM documents")
 def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", parsers.human_size(F.col("n_chars")).alias("size"))
+
+
+@query()
+def pdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as PDF files and read back: pages, and characters but white space, of each."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pdf_files.pages(pdf_files.from_texts(docs, "doc_id", "text"))
+    counted = rows.groupBy("path").agg(F.count("*").alias("pages"), F.sum(text.visible_characters(F.col("text"))).alias("visible"), F.max("error").alias("error"))
+    return counted.select(F.col("path").cast("bigint").alias("doc_id"), "pages", "visible", "error")
+
+
+ORACLE_SQL["pdf_visible_text"] = "SELECT doc_id, CAST(length(regexp_replace(text, '[\\s\\pZ]', '', 'g')) AS BIGINT) AS visible FROM documents"
+QUERIES["pdf_visible_text"] = lambda spark, sf_dir: pdf_round_trip(spark, sf_dir).select("doc_id", F.col("visible").cast("bigint").alias("visible"))
+
+
+@query()
+def ocr_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of recognised text, here of texts that hold none of its misreadings but a few."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.md5(recognition.corrected(F.concat(F.lit("NQ5328 V01gograd 11.О8.202Б "), "text")).cast("binary")).alias("corrected"))
+
+
+@query()
+def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of files in several encodings."""
+    rows = [("utf-8.txt", bytearray("Привет".encode())), ("old.txt", bytearray("Привет".encode("cp1251"))), ("mark.txt", bytearray(b"\xef\xbb\xbfA")), ("koi8.txt", bytearray("<?xml version='1.0' encoding='koi8-r'?>Да".encode("koi8-r")))]
+    return documents.read_texts(spark.createDataFrame(rows, "path string, content binary"))
+
+
+ORACLE_SQL["decode_legacy"] = _sql_values([("utf-8.txt", "text", "Привет", None), ("old.txt", "text", "Привет", None), ("mark.txt", "text", "A", None), ("koi8.txt", "text", "<?xml version='1.0' encoding='koi8-r'?>Да", None)], "path, format, text, error")
