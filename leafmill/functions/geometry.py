@@ -152,3 +152,32 @@ def stamp_position(anchor: Column, x: Column, y: Column, left: Column, bottom: C
     column = F.when(anchor.isin("tl", "l", "bl"), left + margin).when(anchor.isin("tc", "c", "bc"), left + (F.abs(right - left) - width) / 2).otherwise(right - margin - width)
     row = F.when(anchor.isin("tl", "tc", "tr"), top - margin - height).when(anchor.isin("l", "c", "r"), bottom + (F.abs(top - bottom) - height) / 2).otherwise(bottom + margin)
     return F.struct((column + x * mm).alias("x"), (row + y * mm).alias("y"))
+
+
+def page_resize(left: Column, bottom: Column, right: Column, top: Column, rotation: Column, sheet: tuple[float, float] = A4) -> Column:
+    """``struct<scale, x, y, width, height>`` that fits a page, centred, onto a sheet lying its way; null if it has that size."""
+    raw_w, raw_h = F.abs(right - left), F.abs(top - bottom)
+    lying = is_landscape(left, bottom, right, top, rotation) != quarter_turn(rotation)
+    w, h = F.when(lying, F.lit(sheet[1])).otherwise(F.lit(sheet[0])), F.when(lying, F.lit(sheet[0])).otherwise(F.lit(sheet[1]))
+    scale = F.least(w / raw_w, h / raw_h)
+    low, base = F.least(left, right), F.least(bottom, top)
+    same = (low == 0) & (base == 0) & (F.abs(raw_w - w) < 0.5) & (F.abs(raw_h - h) < 0.5)
+    made = F.struct(scale.alias("scale"), ((w - raw_w * scale) / 2 - low * scale).alias("x"), ((h - raw_h * scale) / 2 - base * scale).alias("y"), w.alias("width"), h.alias("height"))
+    return F.when(~same, made)
+
+
+def moved_points(points: Column, scale: Column, x: Column, y: Column) -> Column:
+    """Coordinates ``[x1, y1, x2, y2, ...]`` under a scale and a shift."""
+    return F.transform(points, lambda v, i: v * scale + F.when(i % 2 == 0, x).otherwise(y))
+
+
+def paper_name(width: Column, height: Column) -> Column:
+    """Name of a portrait size in points, or its millimetres."""
+    from leafmill.functions.parsers import PAPERS, POINTS_PER_MM
+
+    w, h = width / POINTS_PER_MM, height / POINTS_PER_MM
+    name = F.concat(F.format_string("%.0fx%.0f", F.bround(w), F.bround(h)), F.lit(" mm"))
+    for paper, (a, b) in reversed(PAPERS.items()):
+        shown = paper.upper() if len(paper) == 2 else paper.capitalize()
+        name = F.when((F.abs(F.lit(a) - w) < 0.2) & (F.abs(F.lit(b) - h) < 0.2), shown).otherwise(name)
+    return name

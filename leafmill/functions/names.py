@@ -116,3 +116,21 @@ def edited_destination(path: Column, suffix: str, *, directory: str | None = Non
 def jpeg_name(path: Column, directory: str | None = None, tag: Column | None = None) -> Column:
     where = F.lit(directory.rstrip("/") + "/") if directory else parent(path)
     return F.concat(where, stem(path), *([F.lit("_"), tag] if tag is not None else []), F.lit(".jpg"))
+
+
+def file_url(path: Column) -> Column:
+    """``file:`` URL of an absolute path: all bytes but letters, digits and ``-._~/:`` as ``%XX``."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    pairs = F.regexp_extract_all(F.hex(slashed.cast("binary")), F.lit("(..)"), F.lit(1))
+    plain = lambda x: F.decode(F.unhex(x), "ISO-8859-1")
+    shown = F.transform(pairs, lambda x: F.when(plain(x).rlike("^[A-Za-z0-9._~/:-]$"), plain(x)).otherwise(F.concat(F.lit("%"), x)))
+    return F.concat(F.when(slashed.startswith("/"), "file://").otherwise("file:///"), F.array_join(shown, ""))
+
+
+def with_base(html: Column, url: Column, script: str = "") -> Column:
+    """HTML with a base address after its head's, else root's, else type's tag (unless it has one), and a script at the end."""
+    base = F.concat(F.lit('<base href="'), url, F.lit('">'))
+    at = lambda name: F.length(F.regexp_extract(html, rf"(?is)^(.*?<{name}(?:\s[^>]*)?>)", 1))
+    place = F.when(at("head") > 0, at("head")).when(at("html") > 0, at("html")).otherwise(at("!doctype"))
+    made = F.concat(F.substring(html, F.lit(1), place), base, F.substring(html, place + 1, F.length(html)))
+    return F.concat(F.when(F.instr(F.lower(html), "<base") > 0, html).otherwise(made), F.lit(script))

@@ -81,3 +81,26 @@ def ranked(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
     counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     before = counts.select(F.col("__part"), (F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
     return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.coalesce("before", F.lit(0)) + 1).drop("__part", "__at", "before", *names)
+
+
+def cache_entries(files: DataFrame) -> DataFrame:
+    """Files and bytes of a cache's own entries: a stem of 64 hexadecimal digits, ending ``md`` or ``json``."""
+    own = F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^[0-9a-fA-F]{64}\.(md|json)$")
+    return files.where(own).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def without_blank_inputs(pages: DataFrame) -> DataFrame:
+    """Pages ``(input, doc, page, blank)``: wholly blank documents of an input go, unless all of its are."""
+    docs = pages.groupBy("input", "doc").agg(F.min("blank").alias("empty"))
+    kept = docs.withColumn("all", F.min("empty").over(Window.partitionBy("input"))).where(~F.col("empty") | F.col("all"))
+    return pages.join(kept.select("input", "doc"), ["input", "doc"], "left_semi")
+
+
+def renamed(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links ``(doc, name)`` under the new names ``(doc, name, new)`` where there is one."""
+    return links.join(names, ["doc", "name"], "left").withColumn("target", F.coalesce("new", "name")).drop("new")
+
+
+def line_boxes(words: DataFrame) -> DataFrame:
+    """Left, top and bottom of the words of each line."""
+    return words.groupBy("doc", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("y") + F.col("height")).alias("bottom"))

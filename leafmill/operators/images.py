@@ -93,3 +93,13 @@ def placement_plan(images: DataFrame, dpi: int) -> DataFrame:
     """What images drawn at ``(width, height)`` points shrink to at a resolution; those that do not are left out."""
     target = geometry.fit_for_placement(F.col("pixel_width"), F.col("pixel_height"), F.col("width"), F.col("height"), F.lit(dpi))
     return images.withColumn("t", target).where("t is not null").select("*", F.col("t.width").alias("target_width"), F.col("t.height").alias("target_height")).drop("t")
+
+
+def unsafe_reason(mask: Column, stencil: Column, decode: Column, bits: Column) -> Column:
+    """Why an image is not resampled; null if it may be."""
+    return F.when(mask, "mask").when(stencil, "stencil").when(decode, "decode").when(F.coalesce(bits, F.lit(8)) != 8, "bits")
+
+
+def kept_smaller(old: Column, new: Column, required: Column) -> Column:
+    """Whether a replacement is taken: when smaller, or when it must be."""
+    return required | (new < old)

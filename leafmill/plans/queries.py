@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geometry, names, parsers, recognition, text
 from leafmill.operators import batches, images, pages, pdf_files
+from leafmill.plans import recognition as recognition_plans
 from leafmill.sources import documents, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -624,3 +625,106 @@ def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["decode_legacy"] = _sql_values([("utf-8.txt", "text", "Привет", None), ("old.txt", "text", "Привет", None), ("mark.txt", "text", "A", None), ("koi8.txt", "text", "<?xml version='1.0' encoding='koi8-r'?>Да", None)], "path, format, text, error")
+
+
+@query(f"WITH {LINES}, w AS (SELECT doc, page // 3 AS line, CAST(page * 7 % 50 AS DOUBLE) AS x, CAST(page % 5 AS DOUBLE) AS y, CAST(10 + page % 4 AS DOUBLE) AS height FROM lines) SELECT doc, line, min(x) AS x, min(y) AS y, max(y + height) AS bottom FROM w GROUP BY doc, line")
+def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("page")
+    words = _lines(spark, sf_dir).select("doc", F.floor(page / 3).alias("line"), (page * 7 % 50).cast("double").alias("x"), (page % 5).cast("double").alias("y"), (10 + page % 4).cast("double").alias("height"))
+    return batches.line_boxes(words)
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc % 20 AS input, doc, page, length(text) < 60 AS blank FROM lines),
+d AS (SELECT input, doc, bool_and(blank) AS empty FROM p GROUP BY input, doc), k AS (SELECT *, bool_and(empty) OVER (PARTITION BY input) AS every FROM d)
+SELECT p.input, p.doc, page, blank FROM p JOIN k ON p.input = k.input AND p.doc = k.doc WHERE NOT empty OR every""")
+def blank_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of short lines alone are left out of a merge, unless all are such."""
+    rows = _lines(spark, sf_dir).select((F.col("doc") % 20).alias("input"), "doc", "page", (F.length("text") < 60).alias("blank"))
+    return batches.without_blank_inputs(rows)
+
+
+@query(f"WITH {LINES}, n AS (SELECT DISTINCT doc, 'p' || (page % 4) AS name, 'p' || (page % 4) || '_2' AS new FROM lines WHERE page % 2 = 1) SELECT l.doc, l.page, 'p' || (l.page % 4) AS name, coalesce(n.new, 'p' || (l.page % 4)) AS target FROM lines l LEFT JOIN n ON n.doc = l.doc AND n.name = 'p' || (l.page % 4)")
+def rename_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links under the names their targets got in a merge."""
+    links = _lines(spark, sf_dir).select("doc", "page", F.concat(F.lit("p"), (F.col("page") % 4).cast("string")).alias("name"))
+    new = links.where("page % 2 = 1").select("doc", "name", F.concat("name", F.lit("_2")).alias("new")).distinct()
+    return batches.renamed(links, new).select("doc", "page", "name", "target")
+
+
+@query("WITH f AS (SELECT '/cache/' || CASE doc_id % 3 WHEN 0 THEN sha256(text) || '.md' WHEN 1 THEN sha256(text) || '.json' ELSE 'note' || doc_id || '.md' END AS path, n_chars AS length FROM documents) SELECT count(*) AS files, CAST(coalesce(sum(length), 0) AS BIGINT) AS bytes FROM f WHERE regexp_matches(path, '/[0-9a-f]{64}\\.(md|json)$')")
+def cache_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and bytes that emptying a cache removes."""
+    key = text.content_key(F.col("text"))
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(key, F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(key, F.lit(".json"))).otherwise(F.concat(F.lit("note"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return batches.cache_entries(_table(spark, sf_dir, "documents").select(F.concat(F.lit("/cache/"), name).alias("path"), F.col("n_chars").alias("length")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'mask' WHEN p_partkey % 11 = 0 THEN 'stencil' WHEN p_partkey % 13 = 0 THEN 'decode' WHEN p_size % 3 = 0 THEN 'bits' END AS reason, p_partkey % 5 = 0 OR p_size * 20 < p_retailprice AS taken FROM part")
+def unsafe_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that are not resampled, with the reason, and replacements that are taken."""
+    k = F.col("p_partkey")
+    reason = images.unsafe_reason(k % 7 == 0, k % 11 == 0, k % 13 == 0, F.when(F.col("p_size") % 3 == 0, 4).when(k % 2 == 0, 8))
+    return _table(spark, sf_dir, "part").select("p_partkey", reason.alias("reason"), images.kept_smaller(F.col("p_retailprice"), F.col("p_size") * 20, k % 5 == 0).alias("taken"))
+
+
+@query("WITH r AS (SELECT p_partkey, [CAST(p_size AS DOUBLE), CAST(-(p_partkey % 9) AS DOUBLE), CAST(-p_size AS DOUBLE), CAST(p_partkey % 9 AS DOUBLE)] AS rises FROM part) SELECT p_partkey, CAST(4 - list_position(list_reverse(rises), list_max(rises)) AS INT) AS turns FROM r")
+def upright_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter turns that set an image upright; the last of equals."""
+    size, other = F.col("p_size").cast("double"), (F.col("p_partkey") % 9).cast("double")
+    return _table(spark, sf_dir, "part").select("p_partkey", images.upright_turns(F.array(size, -other, -size, other)).cast("int").alias("turns"))
+
+
+_A, _B = 210.0 * 72.0 / 25.4, 297.0 * 72.0 / 25.4
+
+
+@query(f"""WITH {_SHEETS}, {_SHOWN}, t AS (SELECT *, (w > h) <> (rot % 180 = 90) AS lying FROM shown),
+s AS (SELECT *, CASE WHEN lying THEN {_B!r} ELSE {_A!r} END AS tw, CASE WHEN lying THEN {_A!r} ELSE {_B!r} END AS th FROM t), k AS (SELECT *, least(tw / (r - l), th / (t - b)) AS k FROM s)
+SELECT doc, page, round(k, 8) AS scale, round((tw - (r - l) * k) / 2, 6) + CAST(0 AS DOUBLE) AS x, round((th - (t - b) * k) / 2, 6) + CAST(0 AS DOUBLE) AS y, round(5 * k + (tw - (r - l) * k) / 2, 6) AS px FROM k""")
+def page_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale and shift that fit pages onto A4, and a point moved along."""
+    rows, _ = _sheets(spark, sf_dir)
+    made = rows.withColumn("m", geometry.page_resize(*(F.col(c) for c in ("l", "b", "r", "t", "rot"))))
+    px = geometry.moved_points(F.array(F.lit(5.0), F.lit(7.0)), F.col("m.scale"), F.col("m.x"), F.col("m.y"))[0]
+    return made.select("doc", "page", F.round("m.scale", 8).alias("scale"), (F.round("m.x", 6) + 0.0).alias("x"), (F.round("m.y", 6) + 0.0).alias("y"), F.round(px, 6).alias("px"))
+
+
+@query("""WITH g AS (SELECT p_partkey, ['tl','tc','tr','l','c','r','bl','bc','br'][CAST(p_partkey % 9 + 1 AS INT)] AS anchor, 500.0 + p_size AS w, 700.0 AS h, 72.0 / 25.4 AS mm FROM part)
+SELECT p_partkey, anchor, round(CASE WHEN anchor IN ('tl', 'l', 'bl') THEN 10 * mm WHEN anchor IN ('tc', 'c', 'bc') THEN (w - 50) / 2 ELSE w - 10 * mm - 50 END + 2 * mm, 6) AS x,
+round(CASE WHEN anchor IN ('tl', 'tc', 'tr') THEN h - 10 * mm - 30 WHEN anchor IN ('l', 'c', 'r') THEN (h - 30) / 2 ELSE 10 * mm END - 1 * mm, 6) AS y FROM g""")
+def stamp_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of stamps on pages by anchor and offset."""
+    anchor = F.element_at(F.array(*map(F.lit, ("tl", "tc", "tr", "l", "c", "r", "bl", "bc", "br"))), (F.col("p_partkey") % 9 + 1).cast("int"))
+    zero, f = F.lit(0.0), F.lit
+    rows = _table(spark, sf_dir, "part").select("p_partkey", anchor.alias("anchor"), (500.0 + F.col("p_size")).alias("w"))
+    p = geometry.stamp_position(F.col("anchor"), f(2.0), f(-1.0), zero, zero, F.col("w"), f(700.0), f(50.0), f(30.0))
+    return rows.select("p_partkey", "anchor", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
+
+
+_NAMED = [(210.0, 297.0, "A4"), (215.9, 355.6, "Legal"), (279.4, 431.8, "Tabloid"), (100.0, 200.0, "100x200 mm"), (210.1, 297.1, "A4")]
+
+
+@query(_sql_values([(n,) for _, _, n in _NAMED], "name"))
+def paper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:2] for r in _NAMED], "w double, h double")
+    scale = parsers.POINTS_PER_MM
+    return rows.select(geometry.paper_name(F.col("w") * scale, F.col("h") * scale).alias("name"))
+
+
+@query("SELECT page_id, md5(CASE WHEN contains(html, '<head>') THEN substr(html, 1, strpos(html, '<head>') + 5) || '<base href=\"file:///a%20b/\">' || substr(html, strpos(html, '<head>') + 6) END || '<script></script>') AS page FROM pages")
+def head_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a base address put into their heads."""
+    made = names.with_base(F.col("html"), names.file_url(F.lit("/a b/")), "<script></script>")
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(made.cast("binary")).alias("page"))
+
+
+
+
+
+@query(f"WITH d AS (SELECT doc_id % 100 AS doc, doc_id AS page, text FROM documents), n AS (SELECT doc, page, CASE WHEN length(regexp_replace(text, '[\\s\\pZ]', '', 'g')) >= 100 THEN text ELSE 'read ' || length(text) END AS t FROM d) SELECT doc, md5(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS text FROM n GROUP BY doc")
+def recognition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents whose pages without a text layer are recognised, each content once."""
+    rows = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("doc"), F.col("doc_id").alias("page"), "text")
+    wanted = recognition_plans.needed(rows).select("doc", "page", F.col("text").cast("binary").alias("image"))
+    cache = spark.createDataFrame([], "key string, payload string")
+    found, _ = recognition_plans.recognised(wanted, cache, lambda raw: f"read {len(raw.decode())}")
+    return recognition_plans.texts(rows, found).select("doc", F.md5(F.col("text").cast("binary")).alias("text"))
