@@ -204,7 +204,7 @@ def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, weights: np.
     return v[:-1], float(v[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 10_000, bits: int = 18, n_features: int = 8192, l2: float = 2e-4, swap_weight: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6_000, bits: int = 18, n_features: int = 8192, l2: float = 2e-4, swap_weight: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
     """Fit on at most ``max_rows`` rows of ``labels`` of either class, joined to their texts by ``key``."""
     known = labels.select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("label")).where("key is not null and label is not null")
     share = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
