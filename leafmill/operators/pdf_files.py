@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.sources import pdf
+from leafmill.sources import pdf, pdf_merge
 
 PAGE_ROW = "path string, page int, width double, height double, rotation int, fonts int, images int, text string, error string"
 
@@ -56,7 +56,7 @@ def merged(files: DataFrame, group: str, order: str) -> DataFrame:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.sort_by(order)
         docs = [pdf.load(raw) for raw in rows.column("content").to_pylist()]
-        return pa.table({group: pa.array([key[0].as_py()], rows.schema.field(group).type), "content": pa.array([pdf.save(pdf.merge(docs))], pa.binary()), "files": pa.array([len(docs)], pa.int32())})
+        return pa.table({group: pa.array([key[0].as_py()], rows.schema.field(group).type), "content": pa.array([pdf.save(pdf_merge.merge(docs))], pa.binary()), "files": pa.array([len(docs)], pa.int32())})
 
     kind = files.schema[group].dataType.simpleString()
     return files.select(group, order, "content").groupBy(group).applyInArrow(merge, f"`{group}` {kind}, content binary, files int")

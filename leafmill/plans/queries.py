@@ -319,7 +319,7 @@ def few_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.colour_classes(px)
 
 
-@query(f"WITH {_PIXELS} SELECT doc, i, (77 * value + 150 * ((value * 7) % 256) + 29 * (255 - value) + 128) >> 8 AS luma, CAST(floor((value * (i % 256) + 255 * (255 - i % 256) + 127) / 255) AS INT) AS over_white, CAST(floor((255 - value) * (255 - i % 256) / 255) AS INT) AS from_cmyk FROM px")
+@query(f"WITH {_PIXELS} SELECT doc, CAST(i AS INT) AS i, (77 * value + 150 * ((value * 7) % 256) + 29 * (255 - value) + 128) >> 8 AS luma, CAST(floor((value * (i % 256) + 255 * (255 - i % 256) + 127) / 255) AS INT) AS over_white, CAST(floor((255 - value) * (255 - i % 256) / 255) AS INT) AS from_cmyk FROM px")
 def pixel_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, i = F.col("value"), F.col("i") % 256
     return _pixels(spark, sf_dir).select("doc", "i", geometry.luma(v, v * 7 % 256, 255 - v).alias("luma"), geometry.over_white(v, i).alias("over_white"), geometry.from_cmyk(v, i).alias("from_cmyk"))
@@ -494,7 +494,7 @@ def ndjson_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", batches.event(F.lit("info"), F.lit("written"), F.concat(F.lit("document "), F.col("doc_id").cast("string")), F.struct(F.col("n_chars").alias("chars"))).alias("line"))
 
 
-@query(f"WITH {LINES}, o AS (SELECT doc, page // 4 AS parent, page AS item FROM lines) SELECT doc, parent, item, lag(item) OVER w AS previous, lead(item) OVER w AS next FROM o WINDOW w AS (PARTITION BY doc, parent ORDER BY item)")
+@query(f"WITH {LINES}, o AS (SELECT doc, CAST(page // 4 AS BIGINT) AS parent, page AS item FROM lines) SELECT doc, parent, item, lag(item) OVER w AS previous, lead(item) OVER w AS next FROM o WINDOW w AS (PARTITION BY doc, parent ORDER BY item)")
 def outline_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.outline_links(_lines(spark, sf_dir).select("doc", F.floor(F.col("page") / 4).alias("parent"), F.col("page").alias("item")))
 
@@ -624,10 +624,10 @@ def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.read_texts(spark.createDataFrame(rows, "path string, content binary"))
 
 
-ORACLE_SQL["decode_legacy"] = _sql_values([("utf-8.txt", "text", "Привет", None), ("old.txt", "text", "Привет", None), ("mark.txt", "text", "A", None), ("koi8.txt", "text", "<?xml version='1.0' encoding='koi8-r'?>Да", None)], "path, format, text, error")
+ORACLE_SQL["decode_legacy"] = _sql_values([("utf-8.txt", "text", "Привет", None), ("old.txt", "text", "Привет", None), ("mark.txt", "text", "A", None), ("koi8.txt", "text", "<?xml version='1.0' encoding='koi8-r'?>Да", None)], "path, format, text, error").replace("SELECT *", "SELECT path, format, text, CAST(error AS VARCHAR) AS error")
 
 
-@query(f"WITH {LINES}, w AS (SELECT doc, page // 3 AS line, CAST(page * 7 % 50 AS DOUBLE) AS x, CAST(page % 5 AS DOUBLE) AS y, CAST(10 + page % 4 AS DOUBLE) AS height FROM lines) SELECT doc, line, min(x) AS x, min(y) AS y, max(y + height) AS bottom FROM w GROUP BY doc, line")
+@query(f"WITH {LINES}, w AS (SELECT doc, CAST(page // 3 AS BIGINT) AS line, CAST(page * 7 % 50 AS DOUBLE) AS x, CAST(page % 5 AS DOUBLE) AS y, CAST(10 + page % 4 AS DOUBLE) AS height FROM lines) SELECT doc, line, min(x) AS x, min(y) AS y, max(y + height) AS bottom FROM w GROUP BY doc, line")
 def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page")
     words = _lines(spark, sf_dir).select("doc", F.floor(page / 3).alias("line"), (page * 7 % 50).cast("double").alias("x"), (page % 5).cast("double").alias("y"), (10 + page % 4).cast("double").alias("height"))

@@ -181,3 +181,35 @@ def number_pages(doc: Document, template: str, numbers: list[int] | None = None,
     numbers = numbers or list(range(1, len(doc.pages()) + 1))
     total = start + len(numbers) - 1
     return mark_text(doc, {p: template.replace("{n}", str(start + i)).replace("{total}", str(total)) for i, p in enumerate(numbers)}, **place)
+
+
+def stamp(doc: Document, picture: np.ndarray, places: dict[int, tuple[float, float, float, float]], *, opacity: float = 1.0, blend: str = "Normal") -> Document:
+    """A picture (gray, colour, or with transparency) on pages at ``(x, y, width, height)`` as displayed."""
+    pages = doc.pages()
+    if missing := [n for n in places if not 1 <= n <= len(pages)]:
+        raise ValueError(f"no pages {missing}")
+    height, width = picture.shape[:2]
+    alpha = picture[..., 3] if picture.ndim > 2 and picture.shape[2] == 4 else None
+    colour = picture[..., :3] if picture.ndim > 2 else picture
+    entries = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": 8}
+    veil = np.floor((255 if alpha is None else alpha.astype(np.float64)) * opacity + 0.5) * np.ones((height, width))
+    mask = doc.add(Stream(entries | {"ColorSpace": Name("DeviceGray")}, veil.astype(np.uint8).tobytes())) if alpha is not None or opacity < 1 else None
+    space = Name("DeviceRGB" if colour.ndim > 2 else "DeviceGray")
+    image = doc.add(Stream(entries | {"ColorSpace": space} | ({"SMask": mask} if mask else {}), np.ascontiguousarray(colour).tobytes()))
+    state = doc.add({"Type": Name("ExtGState"), "BM": Name(blend)})
+    for number, (x, y, w, h) in places.items():
+        page = pages[number - 1][1]
+        resources = dict(doc.get(page.get("Resources")) or {})
+        drawn, states = (dict(doc.get(resources.get(k)) or {}) for k in ("XObject", "ExtGState"))
+        name, g = _free(drawn, "Stamp"), _free(states, "StampG")
+        resources |= {"XObject": drawn | {name: image}, "ExtGState": states | {g: state}}
+        (left, bottom, right, top), turn = pdf._box(doc, page)
+        raw_w, raw_h = abs(right - left), abs(top - bottom)
+        px, py = {90: (raw_w - y, x), 180: (raw_w - x, raw_h - y), 270: (y, raw_h - x)}.get(turn, (x, y))
+        c, s = round(math.cos(math.radians(turn))), round(math.sin(math.radians(turn)))
+        body = b"Q q /%s gs %.4f %.4f %.4f %.4f %.4f %.4f cm /%s Do Q" % (g.encode(), w * c, w * s, -h * s, h * c, min(left, right) + px, min(bottom, top) + py, name.encode())
+        old = page.get("Contents")
+        held = doc.get(old)
+        page["Contents"] = [doc.add(Stream({}, b"q")), *(held if isinstance(held, list) else [old] if old is not None else []), doc.add(Stream({}, body))]
+        page["Resources"] = resources
+    return pdf.with_pages(doc, pages)

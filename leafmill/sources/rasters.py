@@ -211,3 +211,30 @@ def unpack_bits(raw: bytes, size: int) -> bytes:
             out += raw[at : at + 1] * (257 - n)
             at += 1
     return bytes(out[:size].ljust(size, b"\0"))
+
+
+#: Clockwise turn and mirroring of each stored orientation.
+TURNS = {1: (0, False), 6: (90, False), 3: (180, False), 8: (270, False), 2: (0, True), 7: (90, True), 4: (180, True), 5: (270, True)}
+
+
+def turned_jpeg(raw: bytes, degrees: int) -> bytes | None:
+    """A JPEG shown turned clockwise by its orientation tag, pixels untouched; None where its EXIF data has no such tag."""
+    own, mirrored = TURNS[orientation(raw) or 1]
+    value = next(k for k, v in TURNS.items() if v == ((own + degrees) % 360, mirrored))
+    at = 2
+    for marker, payload, data in jpeg_segments(raw):
+        if marker == 0xE1 and payload.startswith(b"Exif\0\0"):
+            start = raw.index(payload, at) + 6
+            order = ">" if payload[6:8] == b"MM" else "<"
+            (first,) = struct.unpack_from(order + "I", raw, start + 4)
+            (count,) = struct.unpack_from(order + "H", raw, start + first)
+            for entry in range(start + first + 2, start + first + 2 + 12 * count, 12):
+                if struct.unpack_from(order + "H", raw, entry)[0] == 0x112:
+                    return raw[: entry + 8] + struct.pack(order + "H", value) + raw[entry + 10 :]
+            return None
+        if marker == 0xDA:
+            break
+        at += len(payload)
+    first = next(jpeg_segments(raw))
+    after = 2 + 4 + len(first[1]) if first[0] == 0xE0 else 2
+    return raw[:after] + orientation_segment(value) + raw[after:]
