@@ -129,20 +129,27 @@ def n_hit(spans: str = "spans"):
     return F.aggregate(F.col(spans), F.lit(0).cast("bigint"), lambda a, x: a + (x["stop"] - x["first"]))
 
 
+def _reported(docs: DataFrame, items: DataFrame, text: str, options: dict) -> tuple[DataFrame, list[str], str]:
+    """The report on all columns under plain names, which cannot clash with its own; those names, and the text's."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    own = plain[docs.columns.index(text)]
+    return find_contamination(docs.toDF(*plain), items, text=own, keep=tuple(plain), **options), plain, own
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    found = find_contamination(docs, items, text=text, keep=tuple(docs.columns), **options)
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    found, plain, _ = _reported(docs, items, text, options)
+    return found.where(F.size("items") == 0).select(*plain).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` with the hit spans cut out of their texts."""
-    found = find_contamination(docs, items, text=text, keep=tuple(docs.columns), **options)
-    raw = F.col(text).cast("binary")
+    found, plain, own = _reported(docs, items, text, options)
+    raw = F.col(own).cast("binary")
     cut = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.unhex(F.lit("")).alias("out")),
         lambda a, x: F.struct(x["end_byte"].alias("at"), F.concat(a["out"], F.substring(raw, a["at"] + 1, x["start_byte"] - a["at"])).alias("out")),
         lambda a: F.concat(a["out"], F.substring(raw, a["at"] + 1, F.octet_length(raw) - a["at"])).cast("string"),
     )
-    return found.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    return found.withColumn(own, F.when(F.size("spans") > 0, cut).otherwise(F.col(own))).select(*plain).toDF(*docs.columns)
