@@ -37,7 +37,7 @@ def test_contamination_equals_brute_force(spark, block_windows):
 
 
 def test_removal_of_spans_and_documents(spark):
-    docs = spark.createDataFrame([(1, "keep this, One two THREE; and this é"), (2, "clean"), (3, None)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "keep this, One two THREE; and this é", 7), (2, "clean", 8), (3, None, 9)], "doc_id bigint, text string, items int")
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     assert [r.doc_id for r in decontamination.remove_documents(docs, bench).orderBy("doc_id").collect()] == [2, 3]
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench).collect()}
