@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,3 +214,79 @@ def stamp(doc: Document, picture: np.ndarray, places: dict[int, tuple[float, flo
         page["Contents"] = [doc.add(Stream({}, b"q")), *(held if isinstance(held, list) else [old] if old is not None else []), doc.add(Stream({}, body))]
         page["Resources"] = resources
     return pdf.with_pages(doc, pages)
+
+
+def drawn_sizes(doc: Document) -> dict[Ref, tuple[float, float]]:
+    """Largest drawn width and, independently, height in points of each image, over all pages."""
+    out: dict[Ref, tuple[float, float]] = {}
+    for _, page in doc.pages():
+        for ref, m in drawings(doc, page):
+            w, h = math.hypot(m[0], m[1]), math.hypot(m[2], m[3])
+            out[ref] = (max(w, out.get(ref, (0, 0))[0]), max(h, out.get(ref, (0, 0))[1]))
+    return out
+
+
+def unsafe(doc: Document, image: Stream) -> str | None:
+    """Why an image is left as it is, or None."""
+    own = image.entries
+    if "SMask" in own or "Mask" in own:
+        return "mask"
+    if doc.get(own.get("ImageMask")) is True:
+        return "stencil"
+    if "Decode" in own:
+        return "decode"
+    return None if int(doc.get(own.get("BitsPerComponent")) or 8) == 8 else "bits"
+
+
+def optimise(doc: Document, dpi: int = 150, gray: bool = False) -> tuple[Document, dict[str, int]]:
+    """Images shrunk to a resolution where they are drawn, and made gray if wanted; a copy is taken only if smaller.
+
+    Pictures behind codecs are counted as skipped: nothing here encodes them.
+    """
+    counts = {"resized": 0, "kept": 0, "skipped": 0}
+    for ref, (width, height) in drawn_sizes(doc).items():
+        image = doc.get(ref)
+        w, h = int(doc.get(image.entries.get("Width")) or 0), int(doc.get(image.entries.get("Height")) or 0)
+        need_w, need_h = (max(1, math.floor(s * dpi / 72 + 0.5)) for s in (width, height))
+        scale = max(need_w / w, need_h / h) if w and h else 1.0
+        if scale >= 1 and not gray:
+            counts["kept"] += 1
+            continue
+        try:
+            if reason := unsafe(doc, image):
+                raise pdf.Unreadable(reason)
+            picture = decode_image(doc, image)
+        except (pdf.Unreadable, ValueError, KeyError):
+            counts["skipped"] += 1
+            continue
+        picture = pixels.gray(picture) if gray and pixels.effectively_gray(picture) else picture
+        if scale < 1:
+            picture = pixels.resized(picture, max(1, math.floor(w * scale + 0.5)), max(1, math.floor(h * scale + 0.5)))
+        raw = zlib.compress(np.ascontiguousarray(picture).tobytes(), 9)
+        if len(raw) >= len(image.raw):
+            counts["kept"] += 1
+            continue
+        space = Name("DeviceGray" if picture.ndim == 2 else "DeviceRGB")
+        kept = {k: v for k, v in image.entries.items() if k not in ("DecodeParms", "Length")}
+        doc.objects[ref.number] = Stream(kept | {"Width": picture.shape[1], "Height": picture.shape[0], "ColorSpace": space, "BitsPerComponent": 8, "Filter": Name("FlateDecode")}, raw)
+        counts["resized"] += 1
+    return doc, counts
+
+
+def fit_size(raw: bytes, limit: int, steps: list[int], save=pdf.save) -> tuple[bytes, int | None]:
+    """The file itself if it fits, else the gentlest resolution whose result does, found by bisection; and that resolution."""
+    if len(raw) <= limit:
+        return raw, None
+    made = lambda dpi: save(optimise(pdf.load(raw), dpi)[0])
+    first = made(steps[0])
+    if len(first) <= limit:
+        return first, steps[0]
+    best = made(steps[-1])
+    if len(best) > limit:
+        raise ValueError(f"no step brings the file under {limit} bytes; the smallest is {len(best)}")
+    low, high = 0, len(steps) - 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        result = made(steps[middle])
+        low, high, best = (low, middle, result) if len(result) <= limit else (middle, high, best)
+    return best, steps[high]

@@ -113,3 +113,22 @@ def test_numbers_on_pages():
         pdf_content.number_pages(doc, "page", x=0, y=0)
     with pytest.raises(ValueError):
         pdf_content.mark_text(doc, {9: "x"}, x=0, y=0)
+
+
+def test_images_shrink_where_they_are_drawn():
+    rng = np.random.default_rng(3)
+    noisy = rng.integers(0, 256, (990, 700), dtype=np.uint8)
+    raw = pdf.save(scan(noisy))
+    doc, counts = pdf_content.optimise(pdf.load(raw), 72)
+    (ref, _), = pdf_content.drawings(doc, doc.pages()[0][1])
+    assert counts == {"resized": 1, "kept": 0, "skipped": 0}
+    assert pdf_content.decode_image(doc, doc.get(ref)).shape == (200, 141) and len(pdf.save(doc)) < len(raw) / 10
+    assert pdf_content.optimise(pdf.load(raw), 2000)[1]["kept"] == 1
+    steps = [300, 200, 150, 120, 100, 85, 72]
+    assert pdf_content.fit_size(raw, len(raw), steps) == (raw, None)
+    sizes = {s: len(pdf.save(pdf_content.optimise(pdf.load(raw), s)[0])) for s in steps}
+    for limit in (sizes[300], sizes[120] + 5, sizes[72]):
+        made, step = pdf_content.fit_size(raw, limit, steps)
+        assert len(made) <= limit and step == max(s for s in steps if sizes[s] <= limit)
+    with pytest.raises(ValueError):
+        pdf_content.fit_size(raw, 100, steps)
