@@ -3,7 +3,7 @@
 Objects are found by walking the file from object to object (later ones replace
 earlier ones), so damaged cross-reference tables do not matter; object streams are
 opened on the way.  A document is a dictionary of objects by number with a trailer.
-Encrypted files are refused with their own error.
+Encrypted files are refused here with their own error (see ``pdf_security``).
 """
 
 from __future__ import annotations
@@ -236,11 +236,11 @@ def _run_lengths(data: bytes) -> bytes:
     return bytes(out)
 
 
-def load(raw: bytes) -> Document:
+def load(raw: bytes, *, encrypted: bool = False) -> Document:
     mark = re.search(rb"%PDF-(\d\.\d)", raw[:1024])
     if not mark:
         raise Unreadable("not a PDF file")
-    doc, at, packed = Document(version=mark[1].decode()), 0, []
+    doc, at = Document(version=mark[1].decode()), 0
     while m := _OBJECT.search(raw, at):
         for t in re.finditer(rb"\btrailer\b", raw[at : m.start()]):
             found = Lexer(raw, at + t.end()).value()
@@ -257,16 +257,22 @@ def load(raw: bytes) -> Document:
                 end = raw.find(b"endstream", opened.end())
                 end = len(raw) if end < 0 else end - (raw[end - 1 : end] == b"\n") - (raw[end - 2 : end] == b"\r\n")
             value, at = Stream(value, raw[opened.end() : end]), end
-            if value.entries.get("Type") == "ObjStm":
-                packed.append(value)
-            elif value.entries.get("Type") == "XRef":
+            if value.entries.get("Type") == "XRef":
                 doc.trailer |= {k: v for k, v in value.entries.items() if k in ("Root", "Info", "ID", "Encrypt")}
         doc.objects[int(m[1])] = value
     for t in re.finditer(rb"\btrailer\b", raw[at:]):
         found = Lexer(raw, at + t.end()).value()
         doc.trailer |= found if isinstance(found, dict) else {}
-    if "Encrypt" in doc.trailer:
+    if "Encrypt" in doc.trailer and not encrypted:
         raise Encrypted("the file is encrypted")
+    if "Encrypt" not in doc.trailer:
+        unpack(doc)
+    return doc
+
+
+def unpack(doc: Document) -> None:
+    """Open the object streams and look for the catalog."""
+    packed = [v for v in doc.objects.values() if isinstance(v, Stream) and v.entries.get("Type") == "ObjStm"]
     for stream in packed:
         data, first = decoded(doc, stream), int(doc.get(stream.entries["First"]))
         numbers = Lexer(data[:first])
@@ -275,7 +281,6 @@ def load(raw: bytes) -> Document:
             if number not in doc.objects:
                 doc.objects[number] = Lexer(data, first + offset).value()
     doc.catalog()
-    return doc
 
 
 def _shown(value, place: Callable[[Ref], int]) -> bytes:
@@ -300,8 +305,8 @@ def _shown(value, place: Callable[[Ref], int]) -> bytes:
     raise TypeError(type(value).__name__)
 
 
-def save(doc: Document) -> bytes:
-    """The file with reachable objects alone, renumbered, and bare streams compressed."""
+def save(doc: Document, extra: dict | None = None) -> bytes:
+    """The file with reachable objects alone, renumbered, and bare streams compressed; ``extra`` goes into the trailer."""
     order: list[int] = []
     places: dict[int, int] = {}
 
@@ -312,13 +317,13 @@ def save(doc: Document) -> bytes:
         return places[ref.number]
 
     out = [f"%PDF-{max(doc.version, '1.4')}\n%\u00e2\u00e3\u00cf\u00d3\n".encode("latin-1")]
-    trailer = _shown({k: v for k, v in doc.trailer.items() if k in ("Root", "Info", "ID")}, place)
+    trailer = _shown({k: v for k, v in doc.trailer.items() if k in ("Root", "Info", "ID")} | (extra or {}), place)
     at, offsets, i = len(out[0]), [], 0
     while i < len(order):
         value = doc.objects.get(order[i])
         if isinstance(value, Stream):
             entries, raw = dict(value.entries), value.raw
-            if "Filter" not in entries and len(smaller := zlib.compress(raw, 6)) < len(raw):
+            if "Filter" not in entries and not extra and len(smaller := zlib.compress(raw, 6)) < len(raw):
                 entries, raw = entries | {"Filter": Name("FlateDecode")}, smaller
             body = _shown(entries | {"Length": len(raw)}, place) + b"\nstream\n" + raw + b"\nendstream"
         else:
