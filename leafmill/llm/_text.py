@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -26,11 +26,12 @@ IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_KEPT_POWERS = 1 << 21
+SLICE_BYTES = 1 << 19
+_KEPT_POWERS = SLICE_BYTES + 64
 _powers: dict[int, np.ndarray] = {}
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``max_bytes`` of ``column`` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes), 0
@@ -41,20 +42,25 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
         start = stop
 
 
-def appended(docs: DataFrame, made: Callable[[pa.RecordBatch], list[pa.Array]], added: dict[str, str], text: str) -> DataFrame:
-    """``docs`` with columns made from batches; a column of the same name (whatever its case) is replaced."""
+def appended(docs: DataFrame, made: Callable[[pa.Array], list[pa.Array]], added: dict[str, str], text: str) -> DataFrame:
+    """``docs`` with columns made from its texts; a column of the same name (whatever its case) is replaced."""
     kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in added}]
     names = [f.name for f in kept]
+    shared = any(f.name == text and f.dataType == StringType() for f in kept)  # then the text travels once
+    own = text if shared else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made(part)], names=[*names, *added])
+            for part in slices(batch, own):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made(part.column(own))], names=[*names, *added])
 
     schema = StructType(kept)
     for name, kind in added.items():
         schema = schema.add(name, kind)
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    columns = [F.col(f"`{n}`") for n in names]
+    if not shared:
+        columns.append(F.col(f"`{text}`").cast("string").alias("__text"))
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

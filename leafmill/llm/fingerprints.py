@@ -105,7 +105,7 @@ def edited(text: str, following: str) -> str:
 
 def fingerprint(docs: DataFrame, *, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text."""
-    made = lambda part: [pa.array([as_text(x) for x in fingerprints([(t or "").encode() for t in part.column("__text").to_pylist()])], pa.string())]
+    made = lambda texts: [pa.array([as_text(x) for x in fingerprints([(t or "").encode() for t in texts.to_pylist()])], pa.string())]
     return _text.appended(docs, made, {name: "string"}, text)
 
 

@@ -114,8 +114,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", evidence: floa
     """``docs`` with the predicted language and its score; the names of the new columns are free."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def made(part: pa.RecordBatch) -> list[pa.Array]:
-        names, scores = score(part.column("__text"), shared.value, evidence)
+    def made(texts: pa.Array) -> list[pa.Array]:
+        names, scores = score(texts, shared.value, evidence)
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
     return _text.appended(docs, made, {pred: "string", score_name: "double"}, text)

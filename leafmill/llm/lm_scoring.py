@@ -185,8 +185,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, mean ``loss_target`` and ``loss_background``, and ``lm_score``, their difference."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def made(part: pa.RecordBatch) -> list[pa.Array]:
-        grams, pointers = packed_grams(part.column("__text"))
+    def made(texts: pa.Array) -> list[pa.Array]:
+        grams, pointers = packed_grams(texts)
         n = np.diff(pointers)
         means = _text.segment_sums(shared.value.losses(grams), pointers) / np.maximum(n, 1)[:, None]
         return [pa.array(n, pa.int64()), pa.array(means[:, 0], pa.float64()), pa.array(means[:, 1], pa.float64()), pa.array(means[:, 0] - means[:, 1], pa.float64())]

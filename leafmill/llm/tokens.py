@@ -22,7 +22,7 @@ FAST = 0x250
 _LETTER, _NUMBER, _SPACE, _OTHER, _SLOW = range(5)
 #: The suffixes that byte-level BPE splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-_SLOTS = 22
+_SLOTS = 20
 _MARK = 0x10FFFF
 
 
@@ -91,10 +91,10 @@ class Encoder:
         self.keys = np.zeros(1 << _SLOTS, dtype=np.uint64)
         self.at = np.zeros(1 << _SLOTS, dtype=np.int64)
         self.size = np.zeros(1 << _SLOTS, dtype=np.int32)
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
-    def encode(self, column: pa.Array, max_chars: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array, max_chars: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, pointers of the rows in them) for consecutive groups of rows."""
         texts = [x or "" for x in column.to_pylist()]
         start = 0
@@ -176,7 +176,7 @@ class Encoder:
         if missing.any():
             gone = np.flatnonzero(missing)
             fresh, where = np.unique(hashes[gone], return_index=True)
-            if self.used + 4 * len(fresh) > 1 << 24:
+            if self.used and self.used + 4 * len(fresh) > 1 << 22:
                 self._clear()
                 return self._fast(points, offsets)
             at = gone[where]

@@ -268,4 +268,4 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, *, text: str = "text", score_name: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1, higher the likelier the text is labelled toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return _text.appended(docs, lambda part: [pa.array(shared.value.scores(part.column("__text")), pa.float64())], {score_name: "double"}, text)
+    return _text.appended(docs, lambda texts: [pa.array(shared.value.scores(texts), pa.float64())], {score_name: "double"}, text)
