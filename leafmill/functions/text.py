@@ -95,10 +95,11 @@ def plausibility(text: Column) -> Column:
     """``struct<plausible, total>``: characters in plausible words, and all but white space."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
     trimmed = lambda p: F.regexp_replace(p, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    parts = F.flatten(F.transform(words, lambda w: F.split(w, "-")))
+    parts = F.transform(F.flatten(F.transform(words, lambda w: F.split(w, "-"))), trimmed)  # trimmed once, judged after
+    parts = F.filter(parts, lambda p: F.length(p) >= 3)
     add = lambda a, x: a + x
     return F.struct(
-        F.aggregate(F.transform(parts, lambda p: plausible_length(trimmed(p))), F.lit(0), add).alias("plausible"),
+        F.aggregate(F.transform(parts, plausible_length), F.lit(0), add).alias("plausible"),
         F.aggregate(F.transform(words, F.length), F.lit(0), add).alias("total"),
     )
 
