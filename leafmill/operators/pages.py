@@ -101,7 +101,17 @@ def merge_documents(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Pages of the sources ``(doc, seq)`` as one document: their numbers follow the sources' order.
 
     Offsets come from the page counts, a row per source, so pages are not sorted together.
+    Sources are dealt into ranges of ``seq``; the pages of the ranges before it (one
+    number for each) are added to each source's offset in its own.
     """
-    counts = page_counts(pages).join(sources, "doc")
-    offsets = counts.withColumn("offset", F.sum("pages").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
-    return pages.join(offsets.select("doc", "seq", F.coalesce("offset", F.lit(0)).alias("offset")), "doc").withColumn("merged_page", F.col("page") + F.col("offset")).drop("offset")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Any edges give right offsets; these, of a few sources by hash, make ranges of like size.
+    some = sorted(r.seq for r in sources.where("seq is not null").select("seq").orderBy(F.xxhash64("seq")).limit(20 * parts).collect())
+    edges = some[20::20]
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("seq"))) if edges else F.lit(0)
+    counts = page_counts(pages).join(sources, "doc").withColumn("__range", below)
+    earlier = Window.unboundedPreceding, -1
+    before = counts.groupBy("__range").agg(F.sum("pages").alias("n")).select("__range", F.sum("n").over(Window.orderBy("__range").rowsBetween(*earlier)).alias("before"))
+    own = counts.withColumn("own", F.sum("pages").over(Window.partitionBy("__range").orderBy("seq", "doc").rowsBetween(*earlier)))
+    offsets = own.join(F.broadcast(before), "__range").select("doc", "seq", (F.coalesce("own", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("offset"))
+    return pages.join(offsets, "doc").withColumn("merged_page", F.col("page") + F.col("offset")).drop("offset")
