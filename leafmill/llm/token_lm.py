@@ -1,0 +1,221 @@
+"""Cross-entropy difference of two token 3-gram models, counted and looked up in partitions.
+
+Target and background share one vocabulary, the tokenizer's ids, and the 3-grams of the
+whole corpus.  Probabilities are interpolated from the highest order down (Dirichlet
+weight ``mu``), ending at the uniform one over the vocabulary.
+
+Texts are coded once and held in blocks of about ``BLOCK`` bytes.  A block asks for each
+of its distinct 3-grams once.  The requests are dealt into buckets by the middle token,
+with which both the context (first two tokens) and the shorter gram (last two) of a
+3-gram are in one bucket, so a bucket sums up its requests and answers them with pairs of
+losses.  Tokens of over ``1 / HEAVY`` of the text are dealt by the last two tokens
+instead, and the counts of their contexts are broadcast (at most ``HEAVY`` times the
+vocabulary), as are those of single tokens.  What is gathered grows with the corpus and
+stays partitioned; rows hold packed arrays.
+
+Defined results: null and empty texts have no tokens and score 0; with no target text
+the target model is uniform; capitals count as small letters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+from leafmill.llm import _store, _text, tokens
+
+BLOCK = 2 << 20
+HEAVY = 512
+_BUCKET_TOKENS = 2_000_000
+ADDED = {"n_tokens": "long", "loss_target": "double", "loss_background": "double", "lm_score": "double"}
+
+
+def coded(docs: DataFrame, text: str, target: str, tokenizer: str) -> DataFrame:
+    """``docs`` without the text, with ``__block``, ``__target`` and token ids (from 1) ``__ids``."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in (*ADDED, text, target)}]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, block = tokens.Encoder.of(tokenizer), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in _text.slices(batch, "__text", BLOCK):
+                block += 1
+                ids, sizes = [], []
+                for own, pointers in encoder.encode(part.column("__text")):
+                    ids.append(own.astype(np.int32) + 1)
+                    sizes.append(np.diff(pointers))
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                made = [pa.array(np.full(part.num_rows, block)), part.column("__target"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "__block", "__target", "__ids"])
+
+    schema = StructType(kept).add("__block", "long").add("__target", "boolean").add("__ids", ArrayType(IntegerType()))
+    columns = [F.col(f"`{n}`") for n in names]
+    lowered = F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    return docs.select(*columns, lowered.alias("__text"), F.coalesce(F.col(target), F.lit(False)).alias("__target")).mapInArrow(run, schema)
+
+
+def packed(ids: pa.Array, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 3-gram that ends at each token as a number to ``base`` (0: before the text), and the pointers of the rows."""
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    offsets = np.asarray(ids.offsets, dtype=np.int64)
+    flat = np.asarray(ids.values)[offsets[0] : offsets[-1]].astype(np.int64)
+    offsets = offsets - offsets[0]
+    place = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
+    grams = flat.copy()
+    for back in (1, 2):
+        earlier = np.concatenate([np.zeros(min(back, len(flat)), np.int64), flat[:-back]])
+        grams += np.where(place >= back, earlier, 0) * base**back
+    return grams, offsets
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Little numbers as bytes by significance, which compress well."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(raw, np.int64))
+
+
+def _counted(keys: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of each key in them, and the sums (keys, 2) of target and all."""
+    own, where = np.unique(keys, return_inverse=True)
+    return own, where, np.stack([np.bincount(where, weights=x, minlength=len(own)) for x in (n_target, n)], axis=1)
+
+
+def _pieces(batch: pa.RecordBatch, base: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, 3-grams, whether of target texts) of the runs of rows of one block."""
+    blocks = batch.column("__block").to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        part = batch.slice(start, stop - start)
+        grams, pointers = packed(part.column("__ids"), base)
+        yield int(blocks[start]), grams, np.repeat(part.column("__target").to_numpy(zero_copy_only=False).astype(bool), np.diff(pointers))
+
+
+def _contexts(texts: DataFrame, base: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts that end in a token of ``often``, in order, and how many 3-grams of target texts and of all have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, grams, target in _pieces(batch, base):
+                keys = grams // base
+                picked = often[keys % base]
+                own, _, sums = _counted(keys[picked], np.ones(int(picked.sum())), target[picked])
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(sums[:, k].astype(np.int64)) for k in (0, 1))], names=["key", "n_target", "n"])
+
+    rows = texts.select("__block", "__target", "__ids").mapInArrow(run, "key long, n_target long, n long")
+    table = rows.groupBy("key").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n")).toArrow()
+    keys, n_target, n = (table.column(i).to_numpy() for i in range(3))
+    order = np.argsort(keys)
+    return keys[order], np.stack([n_target[order], n[order]], axis=1).astype(np.float64)
+
+
+def _token_counts(texts: DataFrame, base: int) -> np.ndarray:
+    """For each token, how often it ends a 3-gram and how often it is the middle: of target texts and of all (tokens, 4)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((base, 4), dtype=np.int64)
+        for batch in batches:
+            for _, grams, target in _pieces(batch, base):
+                for i, own in enumerate((grams % base, grams // base % base)):
+                    held[:, 2 * i] += np.bincount(own[target], minlength=base)
+                    held[:, 2 * i + 1] += np.bincount(own, minlength=base)
+        used = np.flatnonzero(held.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(held[used, k]) for k in range(4))], names=["key", "a", "b", "c", "d"])
+
+    rows = texts.select("__block", "__target", "__ids").mapInArrow(run, "key long, a long, b long, c long, d long")
+    table = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()
+    out = np.zeros((base, 4))
+    out[table.column("key").to_numpy()] = np.stack([table.column(c).to_numpy() for c in "abcd"], axis=1)
+    return out
+
+
+def score(docs: DataFrame, *, tokenizer: str, text: str = "text", target: str = "target", mu: float = 4.0, heavy: int = HEAVY) -> DataFrame:
+    """``docs``, less text and ``target``, with ``n_tokens``, mean losses and ``lm_score``, by the models of all of ``docs``.
+
+    ``target`` marks the texts of the target model; every text counts for the background.
+    """
+    spark = docs.sparkSession
+    vocabulary = tokens.load(tokenizer).get_vocab_size()
+    base = vocabulary + 1
+    if base >= 1 << 21:
+        raise ValueError("a vocabulary of over 2,097,150 tokens")
+    texts = _store.written(coded(docs, text, target, tokenizer), "coded-texts")
+    counted = _token_counts(texts, base)
+    ones, heads = counted[:, :2], counted[:, 2:]
+    total = ones.sum(axis=0)
+    often = heads[:, 1] > total[1] / heavy
+    contexts = _contexts(texts, base, often)
+    first = (ones + mu / vocabulary) / (total + mu)
+    shared = spark.sparkContext.broadcast((first, heads, often, *contexts))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total[1]) // _BUCKET_TOKENS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, grams, marked in _pieces(batch, base):
+                own, _, sums = _counted(grams, np.ones(len(grams)), marked)
+                middle = own // base % base
+                dealt = np.where(shared.value[2][middle], own % base**2 + base, middle)
+                bucket = (_text.mix(dealt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                own, sums, bucket = own[order], sums[order].astype(np.uint32), bucket[order]
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
+                cuts = list(zip(edges[:-1], edges[1:]))
+                raw = [[_bytes(np.diff(own[a:b], prepend=0)) for a, b in cuts], *([_bytes(np.ascontiguousarray(sums[a:b, k])) for a, b in cuts] for k in (0, 1))]
+                made = [pa.array(np.full(len(cuts), block)), pa.array(bucket[edges[:-1]]), *(pa.array(x, pa.binary()) for x in raw)]
+                yield pa.RecordBatch.from_arrays(made, names=["block", "bucket", "grams", "n_target", "n"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        first, heads, often, keys, counts = shared.value
+        rows = asked.to_pydict()
+        each = [_ascending(x) for x in rows["grams"]]
+        grams, where, n3 = _counted(np.concatenate(each), *(np.concatenate([_numbers(x, np.uint32) for x in rows[c]]) for c in ("n", "n_target")))
+        pairs, pair, n2 = _counted(grams % base**2, n3[:, 1], n3[:, 0])
+        _, context, own = _counted(grams // base, n3[:, 1], n3[:, 0])
+        c3, split = own[context], often[grams // base % base]
+        if split.any():
+            c3[split] = counts[np.searchsorted(keys, grams[split] // base)]
+        p2 = (n2 + mu * first[pairs % base]) / (heads[pairs // base] + mu)
+        losses = -np.log((n3 + mu * p2[pair]) / (c3 + mu)).astype(np.float32)[where]
+        stops = np.cumsum([len(x) for x in each])[:-1]
+        made = [pa.array([_bytes(x) for x in np.split(np.ascontiguousarray(losses[:, k]), stops)], pa.binary()) for k in (0, 1)]
+        return pa.Table.from_arrays([asked.column("block"), asked.column("grams"), *made], names=["block", "grams", "loss_t", "loss_b"])
+
+    kept = [f for f in texts.schema.fields if not f.name.startswith("__")]
+    names = [f.name for f in kept]
+    schema = StructType(list(kept))
+    for name, kind in ADDED.items():
+        schema = schema.add(name, kind)
+
+    def look_up(own: pa.Table, found: pa.Table) -> pa.Table:
+        own = own.combine_chunks()
+        grams, pointers = packed(own.column("__ids"), base)
+        each = np.zeros((len(grams), 2))
+        if len(grams):
+            rows = found.to_pydict()
+            keys = np.concatenate([_ascending(x) for x in rows["grams"]])
+            order = np.argsort(keys, kind="stable")
+            at = order[np.searchsorted(keys, grams, sorter=order)]
+            each = np.stack([np.concatenate([_numbers(x, np.float32) for x in rows[c]])[at] for c in ("loss_t", "loss_b")], axis=1).astype(np.float64)
+        n = np.diff(pointers)
+        means = _text.segment_sums(each, pointers) / np.maximum(n, 1)[:, None]
+        made = [pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (means[:, 0], means[:, 1], means[:, 0] - means[:, 1]))]
+        return pa.Table.from_arrays([*(own.column(c) for c in names), *made], names=[*names, *ADDED])
+
+    asked = texts.select("__block", "__target", "__ids").mapInArrow(ask, "block long, bucket long, grams binary, n_target binary, n binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, grams binary, loss_t binary, loss_b binary")
+    sent = texts.select(*[F.col(f"`{c}`") for c in names], "__ids", "__block")
+    return sent.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)

@@ -1,0 +1,51 @@
+from collections import Counter
+from math import log
+
+import pytest
+
+from leafmill.llm import token_lm, tokens
+from leafmill.llm.queries import tokenizer_path
+from tests.llm.rows import ENGLISH, GERMAN, words
+
+
+def brute(corpus, text, size, mu=4.0):
+    """Mean interpolated loss of the tokens of a text by plain dictionaries."""
+    grams, heads = Counter(), Counter()
+    for ids in corpus:
+        raw = (None, None, *ids)
+        for i in range(2, len(raw)):
+            for k in (1, 2, 3):
+                grams[raw[i - k + 1 : i + 1]] += 1
+                heads[raw[i - k + 1 : i], k] += 1
+    raw, total = (None, None, *text), 0.0
+    for i in range(2, len(raw)):
+        p = 1 / size
+        for k in (1, 2, 3):
+            g = raw[i - k + 1 : i + 1]
+            p = (grams[g] + mu * p) / (heads[g[:-1], k] + mu)
+        total -= log(p)
+    return total / len(text)
+
+
+@pytest.mark.parametrize("heavy", [1, 20, 512])
+def test_losses_equal_brute_force(spark, heavy):
+    rows = [(i % 9, words(i, 30, ENGLISH if i % 2 else GERMAN), bool(i % 2)) for i in range(12)] + [(20, None, True), (None, "", False), (21, "日本 Tokyo €", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, target boolean").repartition(3)
+    got = token_lm.score(docs, tokenizer=tokenizer_path(), heavy=heavy).collect()
+    library = tokens.load(tokenizer_path())
+    ids = [tuple(library.encode((t or "").lower(), add_special_tokens=False).ids) for _, t, _ in rows]
+    target = [x for x, r in zip(ids, rows) if r[2]]
+    size = library.get_vocab_size()
+    wanted = [(r[0], len(x), *((brute(target, x, size), brute(ids, x, size)) if x else (0, 0))) for x, r in zip(ids, rows)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for a, b in zip(sorted((tuple(r)[:4] for r in got), key=key), sorted(wanted, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-4)
+
+
+def test_order_of_words_tells_texts_apart(spark):
+    """The same words in another order: what 4 bytes of context do not see."""
+    said = "understanding mathematics requires considerable patience "
+    turned = "considerable mathematics understanding patience requires "
+    docs = spark.createDataFrame([(i, said * 5, True) for i in range(8)] + [(i, turned * 5, False) for i in range(8, 16)], "doc_id bigint, text string, target boolean")
+    got = {r.doc_id: r.lm_score for r in token_lm.score(docs, tokenizer=tokenizer_path()).collect()}
+    assert max(got[i] for i in range(8)) < 0 < 1 < min(got[i] for i in range(8, 16))
