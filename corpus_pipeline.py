@@ -18,9 +18,9 @@ TOXIC_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is undetermined or scored below LEAST_LANGUAGE_SCORE."""
-    found = language.predict(docs, language.train(docs), pred="__lang", score_name="__lang_score")
-    return found.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Drop documents whose language is undetermined, scored below LEAST_LANGUAGE_SCORE or unlike all that is learned."""
+    found = language.predict(docs, language.train(docs), pred="__lang", score_name="__lang_score", like_name="__like")
+    return found.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE) & F.col("__like")).select(*docs.columns)
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ Defined results: texts that are null or hold no letter are ``und`` with score 0;
 rows with a null language teach nothing; with no labelled row at all every text is
 ``und``; equal likelihoods take the alphabetically first language.  The score is the
 posterior of the predicted language under a uniform prior, with the evidence scaled
-down to that of at most ``evidence`` n-grams, so long texts do not all score 1.
+down to that of at most ``evidence`` n-grams, so long texts do not all score 1.  It
+tells learned languages apart; whether a text is of any of them at all is told by its
+likelihood per n-gram, against the mean of that in the learned texts (``like_name``).
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from leafmill.llm import _text
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
+UNLIKE = 4.0
 _SLICES = 8
 
 
@@ -93,15 +97,44 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
-def score(column: pa.Array, model: Model, evidence: float) -> tuple[list[str], np.ndarray]:
+def _totals(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each text in each language, and its n-grams."""
+    total, grams = np.zeros((len(column), len(model.languages))), np.zeros(len(column))
+    for codes, pointers in _grams(column, model.orders, model.bits):
+        total += _text.segment_sums(model.log_probability[codes], pointers)
+        grams += np.diff(pointers)
+    return total, grams
+
+
+def _like(total: np.ndarray, grams: np.ndarray, model: Model) -> np.ndarray:
+    chance = np.exp(model.log_probability.astype(np.float64))
+    mean = (chance * model.log_probability).sum(axis=0)
+    spread = np.sqrt(np.maximum((chance * model.log_probability.astype(np.float64) ** 2).sum(axis=0) - mean**2, 0))
+    n, best = np.maximum(grams, 1), total.argmax(axis=1)
+    return total[np.arange(len(total)), best] / n >= mean[best] - UNLIKE - 3 * spread[best] / np.sqrt(n)
+
+
+def resembles(column: pa.Array, model: Model, totals: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Whether each text is at most UNLIKE nats an n-gram (and 3 standard errors) less likely than learned texts.
+
+    Ids and numbers are of no language: a text that fails is judged again without words that hold a digit.
+    """
+    if not model.languages:
+        return np.zeros(len(column), dtype=bool)
+    out = _like(*(totals or _totals(column, model)), model)
+    failed = np.flatnonzero(~out)
+    if len(failed):
+        rest = pc.replace_substring_regex(pc.fill_null(column.take(pa.array(failed)), ""), r"\S*[0-9]\S*", "")
+        out[failed] = _like(*_totals(rest, model), model)
+    return out
+
+
+def score(column: pa.Array, model: Model, evidence: float, totals: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[str], np.ndarray]:
     """Predicted language and score of each text."""
     rows = len(column)
     if not model.languages:
         return [UNDETERMINED] * rows, np.zeros(rows)
-    total, grams = np.zeros((rows, len(model.languages))), np.zeros(rows)
-    for codes, pointers in _grams(column, model.orders, model.bits):
-        total += _text.segment_sums(model.log_probability[codes], pointers)
-        grams += np.diff(pointers)
+    total, grams = totals or _totals(column, model)
     scaled = total * np.minimum(1.0, evidence / np.maximum(grams, 1))[:, None]
     scaled -= scaled.max(axis=1, keepdims=True)
     posterior = np.exp(scaled)
@@ -110,15 +143,17 @@ def score(column: pa.Array, model: Model, evidence: float) -> tuple[list[str], n
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, posterior[np.arange(rows), best], 0.0)
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text", evidence: float = 60.0, pred: str = "lang_pred", score_name: str = "lang_score") -> DataFrame:
-    """``docs`` with the predicted language and its score; the names of the new columns are free."""
+def predict(docs: DataFrame, model: Model, *, text: str = "text", evidence: float = 60.0, pred: str = "lang_pred", score_name: str = "lang_score", like_name: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its score, and under ``like_name`` whether it resembles learned texts; the names of the new columns are free."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(texts: pa.Array) -> list[pa.Array]:
-        names, scores = score(texts, shared.value, evidence)
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        totals = _totals(texts, shared.value)
+        names, scores = score(texts, shared.value, evidence, totals)
+        like = [pa.array(resembles(texts, shared.value, totals))] if like_name else []
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), *like]
 
-    return _text.appended(docs, made, {pred: "string", score_name: "double"}, text)
+    return _text.appended(docs, made, {pred: "string", score_name: "double"} | ({like_name: "boolean"} if like_name else {}), text)
 
 
 def crc_fold(key: str, parts: int) -> Column:
