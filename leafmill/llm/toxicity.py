@@ -180,22 +180,21 @@ def minimise(loss, w: np.ndarray, steps: int = 200, memory: int = 8) -> np.ndarr
     return w
 
 
-def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, weights: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], n_features: int, l2: float, swap_weight: float) -> tuple[np.ndarray, float]:
-    """Weights and bias; ``changes`` holds (features, +1/-1) of each swapped sentence against its own."""
-    change_row = np.repeat(np.arange(len(changes)), [len(f) for f, _ in changes]) if changes else np.zeros(0, int)
-    change_feature = np.concatenate([f for f, _ in changes]) if changes else np.zeros(0, int)
-    change_sign = np.concatenate([s for _, s in changes]) if changes else np.zeros(0)
+def fit(sizes: np.ndarray, features: np.ndarray, labels: np.ndarray, weights: np.ndarray, change_sizes: np.ndarray, change_feature: np.ndarray, change_sign: np.ndarray, n_features: int, l2: float, swap_weight: float) -> tuple[np.ndarray, float]:
+    """Weights and bias; the ``change`` arrays hold features and +1/-1 of each swapped sentence against its own."""
+    ends, change_ends = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (sizes, change_sizes))
+    changes = len(change_sizes)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
         w, bias = v[:-1], v[-1]
-        logit = bias + np.bincount(rows, weights=w[features], minlength=len(labels))
+        logit = bias + _text.segment_sums(w[features], ends)
         value = float(weights @ (np.logaddexp(0, logit) - labels * logit)) + 0.5 * l2 * float(w @ w)
         wrong = weights * (1 / (1 + np.exp(-logit)) - labels)
-        slope = np.bincount(features, weights=wrong[rows], minlength=n_features)[:n_features] + l2 * w
+        slope = np.bincount(features, weights=np.repeat(wrong, sizes), minlength=n_features)[:n_features] + l2 * w
         if changes:
-            moved = np.bincount(change_row, weights=w[change_feature] * change_sign, minlength=len(changes))
-            value += swap_weight * float(moved @ moved) / len(changes)
-            slope = slope + 2 * swap_weight / len(changes) * np.bincount(change_feature, weights=change_sign * moved[change_row], minlength=n_features)[:n_features]
+            moved = _text.segment_sums(w[change_feature] * change_sign, change_ends)
+            value += swap_weight * float(moved @ moved) / changes
+            slope = slope + 2 * swap_weight / changes * np.bincount(change_feature, weights=change_sign * np.repeat(moved, change_sizes), minlength=n_features)[:n_features]
         return value, np.append(slope, wrong.sum())
 
     share = float(weights @ labels / weights.sum()) if weights.sum() else 0.5
@@ -204,7 +203,7 @@ def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, weights: np.
     return v[:-1], float(v[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6_000, bits: int = 18, n_features: int = 8192, l2: float = 2e-4, swap_weight: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 10_000, bits: int = 18, n_features: int = 8192, l2: float = 2e-4, swap_weight: float = 1.0, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
     """Fit on at most ``max_rows`` rows of ``labels`` of either class, joined to their texts by ``key``."""
     known = labels.select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("label")).where("key is not null and label is not null")
     share = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
@@ -243,14 +242,19 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     n = np.array([min(max_rows, x) for x in found], dtype=np.float64)
     kept = _select(counts, np.maximum(n, counts.max(axis=1)), n_features, bits)
     size = int((kept >= 0).sum())
-    y, parts, changes = [], [], []
+    y, sizes, change_sizes = [], [], []
+    parts, change_parts, signs = bytearray(), bytearray(), bytearray()  # one buffer each, not an object a row
     for row in sample.mapInArrow(rows_of(kept), "label int, a binary, b binary").toLocalIterator():
-        a, b = np.frombuffer(bytes(row.a), "<i4"), np.frombuffer(bytes(row.b), "<i4")
+        n_a, n_b = len(row.a) // 4, len(row.b) // 4
         if row.label >= 0:
             y.append(row.label)
-            parts.append(a)
-        elif len(a) or len(b):
-            changes.append((np.concatenate([a, b]), np.concatenate([np.ones(len(a)), -np.ones(len(b))])))
+            sizes.append(n_a)
+            parts += row.a
+        elif n_a or n_b:
+            change_sizes.append(n_a + n_b)
+            change_parts += row.a
+            change_parts += row.b
+            signs += b"\x01" * n_a + b"\xff" * n_b
     if not y or not size:
         empty.bias = float(np.log((found[1] + 0.5) / (found[0] + 0.5)))
         return empty
@@ -260,8 +264,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         weights = np.where(labels_ > 0, found[1] / ones, found[0] / (len(y) - ones)) / sum(found)
     else:
         weights = np.full(len(y), 1 / len(y))
-    order = np.repeat(np.arange(len(y)), [len(x) for x in parts])
-    w, bias = fit(order, np.concatenate(parts), labels_, weights, changes, size, l2, swap_weight)
+    held = np.array(sizes), np.frombuffer(parts, "<i4")
+    changed = np.array(change_sizes, dtype=np.int64), np.frombuffer(change_parts, "<i4"), np.frombuffer(signs, np.int8)
+    w, bias = fit(*held, labels_, weights, *changed, size, l2, swap_weight)
     return Model(bits, kept, w, bias)
 
 
