@@ -69,18 +69,27 @@ def event(level: Column, name: Column, message: Column, data: Column | None = No
 def ranked(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Rows with their place (from 1) in a total order, without bringing them into one task.
 
-    Rows are range-partitioned and sorted by the keys; the counts of the partitions
-    before it (one number for each) are added to each row's place in its own.
+    Ranges of the keys are dealt by edges that are fixed values of the plan, so counting
+    a range's rows and numbering them agree on what is in it, however often a branch is
+    computed.  The counts of the ranges before its own (one number for each) are added
+    to each row's place in its range.  Rows equal in all keys are told apart by nothing
+    else, so the keys must name a row for its place to be the same in every run.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"__k{i}" for i in range(len(keys))]
-    dealt = keyed.repartitionByRange(parts, *names).sortWithinPartitions(*names).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("bigint"), 33))
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("__part"), (F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.coalesce("before", F.lit(0)) + 1).drop("__part", "__at", "before", *names)
+    keyed = rows.withColumns(dict(zip(names, keys)))
+    kinds = [keyed.schema[n].dataType for n in names]
+    # Any edges give right places; these, of a few rows by hash, make ranges of like size.
+    some = keyed.select(*names).orderBy(F.xxhash64(*names)).limit(20 * parts).orderBy(*names).collect()
+    edges = [F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in zip(names, row, kinds)]) for row in some[20::20]]
+    own = F.struct(*names)
+    below = F.size(F.filter(F.array(*edges), lambda e: e <= own)) if edges else F.lit(0)
+    ranged = keyed.withColumn("__range", below)
+    earlier = Window.unboundedPreceding, -1
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(*earlier)), F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*names)))
+    return placed.join(F.broadcast(before), "__range").withColumn(name, F.col("__at") + F.col("__before")).drop("__range", "__at", "__before", *names)
 
 
 def cache_entries(files: DataFrame) -> DataFrame:

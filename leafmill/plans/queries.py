@@ -221,11 +221,11 @@ def merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("source", F.md5(F.col("merged").cast("binary")).alias("merged"), "parts")
 
 
-@query(f"""WITH {LINES}, c AS (SELECT *, sum(n1) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off FROM (SELECT doc, any_value(n) AS n1 FROM lines WHERE doc % 7 = 0 GROUP BY doc))
+@query(f"""WITH {LINES}, c AS (SELECT *, sum(n1) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off FROM (SELECT doc, any_value(n) AS n1 FROM lines GROUP BY doc))
 SELECT doc, page, CAST(page + coalesce(off, 0) AS BIGINT) AS merged_page FROM lines JOIN c USING (doc)""")
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page numbers in one merged document."""
-    rows = _lines(spark, sf_dir).where("doc % 7 = 0").select("doc", "page")
+    rows = _lines(spark, sf_dir).select("doc", "page")
     return pages.merge_documents(rows, rows.select("doc").distinct().withColumn("seq", F.col("doc"))).select("doc", "page", F.col("merged_page").cast("bigint").alias("merged_page"))
 
 
