@@ -5,8 +5,9 @@ of digits, of signs, of white space).  A batch is cut into pre-tokens in numpy,
 distinct one is encoded once by the library's BPE model, and the ids of all texts are gathered
 from that cache.  The character classes that decide the cuts are not assumed: they
 are read off the loaded tokenizer's own pre-tokenizer, for code points below
-``FAST``.  A text with any other code point, and any text under a tokenizer of
-another kind, is encoded by the library as a whole.
+``FAST``.  A text with any other code point or with the name of an added token
+(``<|endoftext|>``), and any text under a tokenizer of another kind, is encoded by the
+library as a whole.
 """
 
 from __future__ import annotations
@@ -32,9 +33,7 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # special strings inside a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _classes(tokenizer) -> np.ndarray | None:
@@ -71,6 +70,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.classes = _classes(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(FAST)} | {_MARK: "\n"} if self.classes is not None else {}
         self.codes = np.random.default_rng(7).integers(1, 1 << 63, FAST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._clear()
@@ -117,6 +117,8 @@ class Encoder:
         if self.classes is not None:
             far = np.concatenate([[0], np.cumsum(points >= FAST)])
             slow = far[offsets[1:]] > far[offsets[:-1]]
+            for name in self.added:
+                slow |= np.fromiter((name in x for x in texts), bool, len(texts))
         if slow.all() and len(texts):
             parts = self._whole(texts)
         elif not slow.any():

@@ -33,6 +33,7 @@ def documents(spark):
         (10, "a b", "en"),
         (None, words(5, 50, ENGLISH), "en"),
         (11, words(6, 40, ENGLISH), None),
+        (13, "<|endoftext|> x <|endoftext|>", None),
         (12, "日本語のテキスト €uro 😀 'tis don't\n\n  x", None),
     ]
     return spark.createDataFrame([(i, t, lang, "s", None if t is None else len(t)) for i, t, lang in rows], SCHEMA)

@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from leafmill.llm import packing, token_files, tokens
 from tests.llm.rows import documents, nothing
 
@@ -15,7 +17,8 @@ PATH = tokenizers_dir.path("byte_bpe_50k.json")
 
 
 def whole(texts, path=PATH):
-    return [e.ids for e in tokens.load(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    """Expected ids, from a bare tokenizer."""
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def cached(texts, path=PATH):
@@ -32,6 +35,12 @@ def test_cached_ids_are_the_library_s():
     assert cached(odd + made) == whole(odd + made)
 
 
+def test_names_of_added_tokens_are_coded_as_the_library_codes_them():
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "plain", "<|endoftext|", " <|endoftext|><|endoftext|>\n"]
+    assert cached(texts) == whole(texts)
+    assert any(i == Tokenizer.from_file(PATH).token_to_id("<|endoftext|>") for i in cached(texts)[0])
+
+
 def test_another_kind_of_tokenizer_is_asked_as_a_whole():
     path = tokenizers_dir.path("word_bpe_49k.json")
     texts = ["Hello  World's", "", "a b"]
