@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a temporary folder if driver and tasks are one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and spark.sparkContext.master.startswith("local"):
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="leafmill-")
         shared_folder.own = folder
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -22,14 +24,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; ``options`` are the writer's.
 
     This cuts the lineage at a copy that outlives any executor, and gives joins
     plain scans on both sides, whose skewed partitions adaptive execution splits.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,194 +1,232 @@
-"""Language-model scoring by cross-entropy difference.
-
-A target and a background model of the same order share one vocabulary: the bytes, and
-the n-grams of the whole corpus.  Each task counts the n-grams of its texts, in all of
-them and in target texts, and the counts are added up by n-gram, so what is gathered
-grows with the corpus and no text is left out.  Probabilities are interpolated from
-the highest order down (Dirichlet weight ``mu``), ending at the uniform one over
-bytes.  A document's score is the mean over its bytes of the target's loss minus the
-background's: the lower, the more it is like the target.
-
-The table of loss pairs is broadcast after a check against ``max_model_bytes``; byte
-n-grams of order 4 level off far below it, and a higher order that does not fit is
-refused rather than cut.
-
-Defined results: null and empty texts have no tokens and score 0; with no target text
-the target model is uniform; n-grams outside the corpus back off to shorter ones.
+"""Language-model scoring by cross-entropy difference of two word 3-gram models.
+
+Tokens are words, hashed to one vocabulary of ``2 ** BITS`` ids that both models share.
+The target model is counted on the target texts and the background model on all
+others, so no text is in both; the counts of the larger side are weighted so that both
+have the same mass.  Probabilities are interpolated from the highest order down
+(Dirichlet weight ``mu``), ending at the uniform one over the vocabulary; the end of a
+text is an event that takes its share of probability but is not scored.  A text is
+scored by models that leave out its own n-grams, so a target text does not know itself.
+``lm_score`` is the mean over its words of the target's loss less the background's: the
+lower, the more it is like the target.
+
+Counting and lookup are one exchange each.  Texts are written once, in blocks of about
+``BLOCK`` bytes.  A block asks for each of its distinct 1- to 3-grams once; the requests
+are dealt into buckets by hash, a bucket sums them up and sends each block its counts
+back, in the order asked.  With them a block reads its texts again from the written file
+and scores them.  What is gathered grows with the corpus and stays partitioned; rows
+hold packed arrays; only four totals come to the driver.
+
+Defined results: null and empty texts have no words and score 0; with no target text, or
+no other, that model is uniform; repeated rows are texts of their own, each knowing its
+copies; a column named like an added one is replaced; capitals count as small letters.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from leafmill.llm import _text
+from leafmill.llm import _store, _text
 
-ORDER = 4
-_PAD = 2
+BITS = 24
+BLOCK = 4 << 20
+_KEY_BITS = 56
+_BUCKET_GRAMS = 2_000_000
+U64 = np.uint64
+ADDED = {"n_tokens": "long", "loss_target": "double", "loss_background": "double", "lm_score": "double"}
 
 
-def packed_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each byte, as one uint32 (texts are led by pad bytes), and the rows' pointers."""
-    data, offsets = _text.utf8(column)
-    if not len(data):
-        return np.zeros(0, np.uint32), offsets
-    lead = ORDER - 1
-    at = np.arange(len(data)) + np.repeat(np.arange(1, len(offsets)) * lead, np.diff(offsets))
-    padded = np.full(len(data) + lead * (len(offsets) - 1), _PAD, dtype=np.uint32)
-    padded[at] = _text.LOWER[data]
-    keys = padded[at]
-    for back in range(1, ORDER):
-        keys |= padded[at - back] << np.uint32(8 * back)
-    return keys, offsets
-
-
-def gram_counts(docs: DataFrame, text: str, target: str, flush: int = 2_000_000) -> DataFrame:
-    """Rows ``(gram, n, n_target)`` over all of ``docs``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, *(np.bincount(where, weights=np.concatenate([h[i] for h in held]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
-
-        def rows(part: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in part], names=["gram", "n", "n_target"])
+def blocks(docs: DataFrame, text: str, target: str) -> DataFrame:
+    """``docs`` less text and target, with ``__block``, ``__row`` in it, ``__target``, ``__text`` and its words ``__n``."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in (*ADDED, text, target)}]
+    names = [f.name for f in kept]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, row, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            for part in _text.slices(batch, "text", 4 << 20):
-                grams, pointers = packed_grams(part.column("text"))
-                wanted = np.repeat(part.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(pointers))
-                keys, n = np.unique(grams, return_counts=True)
-                own, n_own = np.unique(grams[wanted], return_counts=True)
-                n_target = np.zeros(len(keys), dtype=np.int64)
-                n_target[np.searchsorted(keys, own)] = n_own
-                held.append((keys, n, n_target))
-                if sum(len(h[0]) for h in held) > flush:
-                    held = [merged()]
-                    if len(held[0][0]) > flush // 2:
-                        yield rows(held[0])
-                        held = []
-        if held:
-            yield rows(merged())
-
-    chosen = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    return chosen.mapInArrow(count, "gram bigint, n bigint, n_target bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-class Lookup:
-    """Open-addressing table from uint32 keys to row numbers, built and probed in numpy."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        self.keys = keys
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]  # of several, the last one stays
-            rest = self.slots[at] != left
-            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row number of each key, or -1."""
-        out = np.full(len(keys), -1, dtype=np.int64)
-        if not len(self.keys):
-            return out
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            row = self.slots[at]
-            hit = (row >= 0) & (self.keys[row] == keys[left])
-            out[left[hit]] = row[hit]
-            on = (row >= 0) & ~hit
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-
-@dataclass
-class Model:
-    """Per order: n-grams with the losses (target, background) of their last byte, and contexts with back-off losses."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-
-    def __post_init__(self):
-        self._tables = None
-
-    def __getstate__(self):
-        return {"grams": self.grams, "contexts": self.contexts, "_tables": None}
-
-    def losses(self, keys: np.ndarray) -> np.ndarray:
-        """(target, background) loss in nats of the last byte of each packed n-gram."""
-        if self._tables is None:
-            self._tables = [(Lookup(g), Lookup(c)) for (g, _), (c, _) in zip(self.grams, self.contexts)]
-        return self._losses(keys, ORDER)
-
-    def _losses(self, keys: np.ndarray, order: int) -> np.ndarray:
-        if not order:
-            return np.full((len(keys), 2), np.log(256), dtype=np.float32)
-        mask = np.uint32((1 << 8 * order) - 1)
-        grams, contexts = self._tables[order - 1]
-        row = grams.find(keys & mask)
-        out = self.grams[order - 1][1][row] if len(self.grams[order - 1][1]) else np.zeros((len(keys), 2), np.float32)
-        gone = np.flatnonzero(row < 0)
-        if len(gone):
-            lower = self._losses(keys[gone], order - 1)
-            known = contexts.find((keys[gone] & mask) >> np.uint32(8))
-            out[gone] = lower + np.where((known >= 0)[:, None], self.contexts[order - 1][1][known], 0) if len(self.contexts[order - 1][1]) else lower
-        return out
-
-
-def build(keys: np.ndarray, counts: np.ndarray, mu: float) -> Model:
-    """Model from the ORDER-gram counts (n, 2), in columns target and background."""
-    grams, contexts = [], []
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for order in range(1, ORDER + 1):
-        own, where = np.unique(keys & np.uint32((1 << 8 * order) - 1), return_inverse=True)
-        n = np.stack([np.bincount(where, weights=counts[:, k], minlength=len(own)) for k in (0, 1)], axis=1)
-        heads, head = np.unique(own >> np.uint32(8), return_inverse=True)
-        total = np.stack([np.bincount(head, weights=n[:, k], minlength=len(heads)) for k in (0, 1)], axis=1)
-        if below is None:
-            base = np.full_like(n, 1 / 256)
-        else:
-            base = below[1][np.searchsorted(below[0], own & np.uint32((1 << 8 * (order - 1)) - 1))]
-        p = (n + mu * base) / (total[head] + mu)
-        grams.append((own, (-np.log(p)).astype(np.float32)))
-        contexts.append((heads, (-np.log(mu / (total + mu))).astype(np.float32)))
-        below = (own, p)
-    return Model(grams, contexts)
-
-
-def train(docs: DataFrame, *, text: str = "text", target: str = "target", mu: float = 4.0, max_model_bytes: int = 512 << 20) -> Model:
-    """Count all of ``docs`` and build the pair of models; ``target`` is the column that marks target rows."""
-    counted = gram_counts(docs, text, target)
-    keys, counts, held = [], [], 0
-    for part in counted.select("gram", "n_target", "n").toLocalIterator(prefetchPartitions=True):
-        keys.append(part.gram)
-        counts.append((part.n_target, part.n))
-        held += 1
-        if held * 24 > max_model_bytes:
-            raise ValueError(f"the n-gram table is over {max_model_bytes} bytes")
-    order = np.argsort(np.array(keys, dtype=np.uint32), kind="stable")
-    return build(np.array(keys, dtype=np.uint32)[order], np.array(counts, dtype=np.float64).reshape(-1, 2)[order], mu)
-
-
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, mean ``loss_target`` and ``loss_background``, and ``lm_score``, their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def made(texts: pa.Array) -> list[pa.Array]:
-        grams, pointers = packed_grams(texts)
-        n = np.diff(pointers)
-        means = _text.segment_sums(shared.value.losses(grams), pointers) / np.maximum(n, 1)[:, None]
-        return [pa.array(n, pa.int64()), pa.array(means[:, 0], pa.float64()), pa.array(means[:, 1], pa.float64()), pa.array(means[:, 0] - means[:, 1], pa.float64())]
-
-    return _text.appended(docs, made, {"n_tokens": "long", "loss_target": "double", "loss_background": "double", "lm_score": "double"}, text)
+            for part in _text.slices(batch, "__text"):
+                made = [pa.array(np.full(part.num_rows, block)), pa.array(row + np.arange(part.num_rows), pa.int32()), part.column("__target"), part.column("__text"), pa.array(np.diff(_text.Words(part.column("__text")).first), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "__block", "__row", "__target", "__text", "__n"])
+                row, held = row + part.num_rows, held + part.column("__text").nbytes
+                if held >= BLOCK:
+                    block, row, held = block + 1, 0, 0
+
+    schema = StructType(kept)
+    for name, kind in (("__block", "long"), ("__row", "integer"), ("__target", "boolean"), ("__text", "string"), ("__n", "long")):
+        schema = schema.add(name, kind)
+    lowered = F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(f"`{target}`"), F.lit(False)).alias("__target"), lowered.alias("__text")).mapInArrow(run, schema)
+
+
+def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (3, words) of the 1-, 2- and 3-gram that end at each word (texts are led by pads), and the rows' pointers."""
+    words = _text.Words(column)
+    ids = (words.hashes() >> U64(64 - BITS)) + U64(1)
+    place = np.arange(len(ids)) - np.repeat(words.first[:-1], np.diff(words.first))
+    keys = np.zeros((3, len(ids)), dtype=np.uint64)
+    packed = ids.copy()
+    for order in range(3):
+        if order:
+            earlier = np.concatenate([np.zeros(min(order, len(ids)), np.uint64), ids[:-order]])
+            packed = _text.mix(packed) + np.where(place >= order, earlier, U64(0))
+        keys[order] = _text.mix(packed * U64(4) + U64(order)) >> U64(64 - _KEY_BITS)
+    return keys, words.first
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key by its range, so ascending keys are in ascending buckets."""
+    return (((keys >> U64(_KEY_BITS - 32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes by significance, which compress well."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(block, first row, rows) of the runs of rows of one block, held together over batches."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[int, int, pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0] if len(held) > 1 else held[0]
+        held.clear()
+        return whole.column("__block")[0].as_py(), whole.column("__row")[0].as_py(), whole
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, row = batch.column("__block").to_numpy(), batch.column("__row").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | (np.diff(row) != 1)) + 1, [len(at)]]).tolist()
+        for start, stop in zip(edges[:-1], edges[1:]):
+            if held and (held[-1].column("__block")[0].as_py() != at[start] or held[-1].column("__row")[-1].as_py() + 1 != row[start]):
+                yield out()
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield out()
+
+
+def own_counts(keys: np.ndarray, pointers: np.ndarray) -> np.ndarray:
+    """How often the row of each key has it; ``keys`` are numbers under 2 ** 31."""
+    pairs = (np.repeat(np.arange(len(pointers) - 1), np.diff(pointers)) << 31) | keys
+    _, where, n = np.unique(pairs, return_inverse=True, return_counts=True)
+    return n[where].astype(np.float64)
+
+
+def losses(place: np.ndarray, counts: np.ndarray, pointers: np.ndarray, member: np.ndarray, total: float, texts: float, weight: float, mu: float) -> np.ndarray:
+    """Loss of each word under one model.
+
+    ``place`` (3, words) says where each gram's number is in ``counts``; ``member`` tells
+    the rows that the model has counted, which are left out of it for their own words.
+    """
+    n_words = np.diff(pointers)
+    inside = np.repeat(member, n_words).astype(np.float64)
+    first = np.zeros(place.shape[1], dtype=bool)
+    first[pointers[:-1][n_words > 0]] = True
+    p = np.full(place.shape[1], 2.0**-BITS)
+    above = (total - inside * np.repeat(n_words, n_words)) * weight
+    for order in range(3):
+        own = (counts[place[order]] - inside * own_counts(place[order], pointers)) * weight
+        p = (own + mu * p) / (above + mu)
+        if order < 2:
+            above = np.concatenate([own[:1] * 0, own[:-1]])
+            # a context is counted wherever its last word stands; its own text's counts of it are left out alike
+            above = np.where(first, (texts - inside) * weight, above)
+    return -np.log(p)
+
+
+def score(docs: DataFrame, *, text: str = "text", target: str = "target", mu: float = 4.0) -> DataFrame:
+    """``docs``, less text and ``target``, with ``n_tokens``, mean losses and ``lm_score``.
+
+    ``target`` marks the texts of the target model; all others are the background's.
+    """
+    spark = docs.sparkSession
+    table = _store.written(blocks(docs, text, target), "lm-texts", compression="zstd", **{"parquet.block.size": BLOCK})
+    n, has = F.col("__n"), (F.col("__n") > 0).cast("int")
+    sums = table.agg(*[F.coalesce(F.sum(F.when(side, x)), F.lit(0)).alias(f"{a}{b}") for a, x in (("w", n), ("t", has)) for b, side in ((0, F.col("__target")), (1, ~F.col("__target")))]).first()
+    words_in, texts_in = (sums.w0, sums.w1), (sums.t0, sums.t1)
+    least = min(words_in)
+    weights = tuple(least / w if least else 1.0 for w in words_in)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * sum(words_in) // _BUCKET_GRAMS)
+    files = {int(re.search(r"part-(\d+)", f.rpartition("/")[2])[1]): f for f in table.inputFiles()}
+    paths = spark.sparkContext.broadcast(files)  # a path for each task that wrote
+    kept = [f for f in table.schema.fields if not f.name.startswith("__")]
+    names = [f.name for f in kept]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, row, piece in _pieces(batches):
+            keys, pointers = gram_keys(piece.column("__text"))
+            marked = np.repeat(piece.column("__target").to_numpy(zero_copy_only=False).astype(bool), np.diff(pointers))
+            own, where, n_all = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+            n_target = np.bincount(where, weights=np.tile(marked, 3), minlength=len(own)).astype(np.uint32)
+            dealt = bucket_of(own, buckets)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(dealt)) + 1, [len(own)]]).tolist()
+            cuts = list(zip(edges[:-1], edges[1:]))
+            told = [[_bytes(np.diff(own[a:b], prepend=U64(0))) for a, b in cuts], *([_bytes(x[a:b]) for a, b in cuts] for x in (n_target, n_all.astype(np.uint32)))]
+            ids = [pa.array(np.full(len(cuts), x), k) for x, k in ((block, pa.int64()), (row, pa.int32()), (piece.num_rows, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([int(dealt[a]) if a < b else 0 for a, b in cuts], pa.int64()), *(pa.array(x, pa.binary()) for x in told)], names=["block", "row", "rows", "bucket", "grams", "n_target", "n"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        rows = {c: asked.column(c).to_pylist() for c in ("grams", "n_target", "n")}
+        each = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in rows["grams"]]
+        own, where = np.unique(np.concatenate(each), return_inverse=True)
+        stops = np.cumsum([len(x) for x in each])[:-1]
+        made = []
+        for c in ("n_target", "n"):
+            sums = np.bincount(where, weights=np.concatenate([_numbers(x, np.uint32) for x in rows[c]]), minlength=len(own)).astype(np.uint64)
+            made.append(pa.array([_bytes(x) for x in np.split(sums[where], stops)], pa.binary()))
+        return pa.Table.from_arrays([*(asked.column(c) for c in ("block", "row", "rows", "bucket")), *made], names=["block", "row", "rows", "bucket", "n_target", "n"])
+
+    schema = StructType(list(kept))
+    for name, kind in ADDED.items():
+        schema = schema.add(name, kind)
+    arrow = to_arrow_schema(schema)
+
+    def texts_of(block: int) -> pa.Table:
+        fs, path = _store.filesystem(paths.value[block >> 32])
+        with fs.open_input_file(path) as source:
+            file = pq.ParquetFile(source)
+            at = file.schema_arrow.names.index("__block")
+            spans = [file.metadata.row_group(i).column(at).statistics for i in range(file.num_row_groups)]
+            own = file.read_row_groups([i for i, s in enumerate(spans) if s is None or s.min <= block <= s.max], columns=[*names, "__block", "__row", "__target", "__text"])
+        own = own.filter(pa.compute.equal(own.column("__block"), block))
+        return own.sort_by("__row")
+
+    def scored(answers: pa.Table) -> pa.Table:
+        block = answers.column("block")[0].as_py()
+        whole, out = texts_of(block), []
+        answers = answers.sort_by([("row", "ascending"), ("bucket", "ascending")])
+        starts = answers.column("row").to_numpy()
+        for row in np.unique(starts).tolist():
+            told = answers.filter(pa.array(starts == row))
+            piece = whole.slice(row, told.column("rows")[0].as_py()).combine_chunks()
+            keys, pointers = gram_keys(piece.column("__text").combine_chunks())
+            place = np.unique(keys.ravel(), return_inverse=True)[1].reshape(3, -1)
+            n_target, n_all = (np.concatenate([_numbers(x, np.uint64) for x in told.column(c).to_pylist()]).astype(np.float64) for c in ("n_target", "n"))
+            marked = piece.column("__target").to_numpy(zero_copy_only=False).astype(bool)
+            n = np.diff(pointers)
+            means = []
+            for counts, member, words, texts, weight in zip((n_target, n_all - n_target), (marked, ~marked), words_in, texts_in, weights):
+                each = losses(place, counts, pointers, member, words, texts, weight, mu)
+                means.append(_text.segment_sums(each, pointers) / np.maximum(n, 1))
+            made = [n.astype(np.int64), means[0], means[1], means[0] - means[1]]
+            kinds = [arrow.field(x).type for x in names]
+            out.append(pa.Table.from_arrays([*(piece.column(x).cast(k, safe=False) for x, k in zip(names, kinds)), *(pa.array(x) for x in made)], schema=arrow))
+        return pa.concat_tables(out)
+
+    asked = table.select("__block", "__row", "__target", "__text").mapInArrow(ask, "block long, row int, rows int, bucket long, grams binary, n_target binary, n binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, row int, rows int, bucket long, n_target binary, n binary")
+    return answers.groupBy("block").applyInArrow(scored, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import _store, decontamination, fingerprints, jaccard_join, language, packing, token_files, token_lm, toxicity, url_rules, warc
+from leafmill.llm import _store, decontamination, fingerprints, jaccard_join, language, lm_scoring, packing, token_files, toxicity, url_rules, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -77,7 +77,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     marked = docs.join(_store.written(good, "target-ids").hint("merge"), "doc_id", "left")  # one plan at every size
-    return token_lm.score(marked, tokenizer=tokenizer_path())
+    return lm_scoring.score(marked)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
