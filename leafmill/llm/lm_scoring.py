@@ -11,11 +11,13 @@ scored by models that leave out its own n-grams, so a target text does not know
 lower, the more it is like the target.
 
 Counting and lookup are one exchange each.  Texts are written once, in blocks of about
-``BLOCK`` bytes.  A block asks for each of its distinct 1- to 3-grams once; the requests
+``BLOCK`` bytes, and read from those files by block; only keys and sides of documents
+are joined.  A block asks for each of its distinct 1- to 3-grams once; the requests
 are dealt into buckets by hash, a bucket sums them up and sends each block its counts
-back, in the order asked.  With them a block reads its texts again from the written file
-and scores them.  What is gathered grows with the corpus and stays partitioned; rows
-hold packed arrays; only four totals come to the driver.
+back, in the order asked, with which its texts are scored.  What is gathered grows with the corpus and stays partitioned; rows
+hold packed arrays; only four totals come to the driver.  Keys of n-grams have 16 bits
+more than the number of words in the corpus (40 to 60), so one in some 20,000 shares
+its key with another at any size.
 
 Defined results: null and empty texts have no words and score 0; with no target text, or
 no other, that model is uniform; repeated rows are texts of their own, each knowing its
@@ -25,11 +27,14 @@ copies; a column named like an added one is replaced; capitals count as small le
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,36 +44,37 @@ from pyspark.sql.types import StructType
 from leafmill.llm import _store, _text
 
 BITS = 24
-BLOCK = 4 << 20
-_KEY_BITS = 56
+BLOCK = 2 << 20
 _BUCKET_GRAMS = 2_000_000
+_TASK_BYTES = 16 << 20
 U64 = np.uint64
 ADDED = {"n_tokens": "long", "loss_target": "double", "loss_background": "double", "lm_score": "double"}
 
 
-def blocks(docs: DataFrame, text: str, target: str) -> DataFrame:
-    """``docs`` less text and target, with ``__block``, ``__row`` in it, ``__target``, ``__text`` and its words ``__n``."""
-    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in (*ADDED, text, target)}]
+def blocks(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` less the text, with ``__block``, ``__row`` in it, ``__text`` (lowered) and its words ``__n``."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in (*ADDED, text)}]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, row, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for part in _text.slices(batch, "__text"):
-                made = [pa.array(np.full(part.num_rows, block)), pa.array(row + np.arange(part.num_rows), pa.int32()), part.column("__target"), part.column("__text"), pa.array(np.diff(_text.Words(part.column("__text")).first), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "__block", "__row", "__target", "__text", "__n"])
+                n = np.diff(_text.Words(part.column("__text")).first)
+                made = [pa.array(np.full(part.num_rows, block)), pa.array(row + np.arange(part.num_rows), pa.int32()), part.column("__text"), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "__block", "__row", "__text", "__n"])
                 row, held = row + part.num_rows, held + part.column("__text").nbytes
                 if held >= BLOCK:
                     block, row, held = block + 1, 0, 0
 
     schema = StructType(kept)
-    for name, kind in (("__block", "long"), ("__row", "integer"), ("__target", "boolean"), ("__text", "string"), ("__n", "long")):
+    for name, kind in (("__block", "long"), ("__row", "integer"), ("__text", "string"), ("__n", "long")):
         schema = schema.add(name, kind)
     lowered = F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(f"`{target}`"), F.lit(False)).alias("__target"), lowered.alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names], lowered.alias("__text")).mapInArrow(run, schema)
 
 
-def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def gram_keys(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (3, words) of the 1-, 2- and 3-gram that end at each word (texts are led by pads), and the rows' pointers."""
     words = _text.Words(column)
     ids = (words.hashes() >> U64(64 - BITS)) + U64(1)
@@ -79,44 +85,40 @@ def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if order:
             earlier = np.concatenate([np.zeros(min(order, len(ids)), np.uint64), ids[:-order]])
             packed = _text.mix(packed) + np.where(place >= order, earlier, U64(0))
-        keys[order] = _text.mix(packed * U64(4) + U64(order)) >> U64(64 - _KEY_BITS)
+        keys[order] = _text.mix(packed * U64(4) + U64(order)) >> U64(64 - bits)
     return keys, words.first
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Bucket of each key by its range, so ascending keys are in ascending buckets."""
-    return (((keys >> U64(_KEY_BITS - 32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+    return (((keys >> U64(bits - 32)) * U64(buckets)) >> U64(32)).astype(np.int64)
 
 
-def _bytes(numbers: np.ndarray) -> bytes:
-    """Numbers as bytes by significance, which compress well."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+def packed_bits(numbers: np.ndarray) -> bytes:
+    """Numbers as bit planes, as many as the largest needs."""
+    width = int(numbers.max(initial=0)).bit_length()
+    raw = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (width + 7) // 8]
+    planes = np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width].T, axis=1)
+    return struct.pack("<IB", len(numbers), width) + planes.tobytes()
 
 
-def _numbers(raw: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def unpacked_bits(raw: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<IB", raw)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n and width:
+        planes = np.frombuffer(raw, np.uint8, offset=5).reshape(width, -1)
+        own = np.packbits(np.unpackbits(planes, axis=1, count=n).T, axis=1, bitorder="little")
+        out[:, : own.shape[1]] = own
+    return out.view("<u8").ravel()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(block, first row, rows) of the runs of rows of one block, held together over batches."""
-    held: list[pa.RecordBatch] = []
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts, most of them small, as compressed bit planes."""
+    return zstandard.compress(packed_bits(counts), 1)
 
-    def out() -> tuple[int, int, pa.RecordBatch]:
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0] if len(held) > 1 else held[0]
-        held.clear()
-        return whole.column("__block")[0].as_py(), whole.column("__row")[0].as_py(), whole
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at, row = batch.column("__block").to_numpy(), batch.column("__row").to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | (np.diff(row) != 1)) + 1, [len(at)]]).tolist()
-        for start, stop in zip(edges[:-1], edges[1:]):
-            if held and (held[-1].column("__block")[0].as_py() != at[start] or held[-1].column("__row")[-1].as_py() + 1 != row[start]):
-                yield out()
-            held.append(batch.slice(start, stop - start))
-    if held:
-        yield out()
+def unsqueezed(raw: bytes) -> np.ndarray:
+    return unpacked_bits(zstandard.decompress(raw))
 
 
 def own_counts(keys: np.ndarray, pointers: np.ndarray) -> np.ndarray:
@@ -148,85 +150,87 @@ def losses(place: np.ndarray, counts: np.ndarray, pointers: np.ndarray, member:
     return -np.log(p)
 
 
-def score(docs: DataFrame, *, text: str = "text", target: str = "target", mu: float = 4.0) -> DataFrame:
-    """``docs``, less text and ``target``, with ``n_tokens``, mean losses and ``lm_score``.
+def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", mu: float = 4.0) -> DataFrame:
+    """``docs``, less the text, with ``n_tokens``, mean losses and ``lm_score``.
 
-    ``target`` marks the texts of the target model; all others are the background's.
+    Texts whose ``key`` is among that of ``targets`` (nulls are not) are the target
+    model's, all others the background's.
     """
     spark = docs.sparkSession
-    table = _store.written(blocks(docs, text, target), "lm-texts", compression="zstd", **{"parquet.block.size": BLOCK})
+    table = _store.written(blocks(docs, text), "lm-texts", compression="zstd", **{"parquet.block.size": BLOCK})
+    marks = targets.select(F.col(f"`{key}`").alias("__key"), F.lit(True).alias("target")).where("__key is not null").distinct()
+    own = table.select("__block", "__row", "__n", F.col(f"`{key}`").alias("__key"))
+    sides = own.join(_store.written(marks, "lm-targets").hint("merge"), "__key", "left")  # one plan at every size
+    sides = _store.written(sides.select("__block", "__row", "__n", F.coalesce("target", F.lit(False)).alias("target")), "lm-sides")
     n, has = F.col("__n"), (F.col("__n") > 0).cast("int")
-    sums = table.agg(*[F.coalesce(F.sum(F.when(side, x)), F.lit(0)).alias(f"{a}{b}") for a, x in (("w", n), ("t", has)) for b, side in ((0, F.col("__target")), (1, ~F.col("__target")))]).first()
+    sums = sides.agg(*[F.coalesce(F.sum(F.when(side, x)), F.lit(0)).alias(f"{a}{b}") for a, x in (("w", n), ("t", has)) for b, side in ((0, F.col("target")), (1, ~F.col("target")))]).first()
     words_in, texts_in = (sums.w0, sums.w1), (sums.t0, sums.t1)
     least = min(words_in)
     weights = tuple(least / w if least else 1.0 for w in words_in)
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * sum(words_in) // _BUCKET_GRAMS)
+    bits = min(60, max(40, sum(words_in).bit_length() + 16))
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least_parts, 3 * sum(words_in) // _BUCKET_GRAMS)
+    parts = max(least_parts, 12 * sum(words_in) // _TASK_BYTES)
     files = {int(re.search(r"part-(\d+)", f.rpartition("/")[2])[1]): f for f in table.inputFiles()}
     paths = spark.sparkContext.broadcast(files)  # a path for each task that wrote
     kept = [f for f in table.schema.fields if not f.name.startswith("__")]
     names = [f.name for f in kept]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, row, piece in _pieces(batches):
-            keys, pointers = gram_keys(piece.column("__text"))
-            marked = np.repeat(piece.column("__target").to_numpy(zero_copy_only=False).astype(bool), np.diff(pointers))
-            own, where, n_all = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
-            n_target = np.bincount(where, weights=np.tile(marked, 3), minlength=len(own)).astype(np.uint32)
-            dealt = bucket_of(own, buckets)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(dealt)) + 1, [len(own)]]).tolist()
-            cuts = list(zip(edges[:-1], edges[1:]))
-            told = [[_bytes(np.diff(own[a:b], prepend=U64(0))) for a, b in cuts], *([_bytes(x[a:b]) for a, b in cuts] for x in (n_target, n_all.astype(np.uint32)))]
-            ids = [pa.array(np.full(len(cuts), x), k) for x, k in ((block, pa.int64()), (row, pa.int32()), (piece.num_rows, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array([int(dealt[a]) if a < b else 0 for a, b in cuts], pa.int64()), *(pa.array(x, pa.binary()) for x in told)], names=["block", "row", "rows", "bucket", "grams", "n_target", "n"])
+    def texts_of(block: int, columns: list[str]) -> pa.Table:
+        fs, path = _store.filesystem(paths.value[block >> 32])
+        with fs.open_input_file(path) as source:
+            file = pq.ParquetFile(source)
+            at = file.schema_arrow.names.index("__block")
+            spans = [file.metadata.row_group(i).column(at).statistics for i in range(file.num_row_groups)]
+            found = file.read_row_groups([i for i, s in enumerate(spans) if s is None or s.min <= block <= s.max], columns=[*columns, "__block", "__row", "__text"])
+        return found.filter(pc.equal(found.column("__block"), block)).sort_by("__row").combine_chunks()
+
+    def ask(rows: pa.Table) -> pa.Table:
+        block = rows.column("__block")[0].as_py()
+        target = rows.sort_by("__row").column("target").to_numpy().astype(bool)
+        keys, pointers = gram_keys(texts_of(block, []).column("__text").combine_chunks(), bits)
+        own, where, n_all = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+        n_target = np.bincount(where, weights=np.tile(np.repeat(target, np.diff(pointers)), 3), minlength=len(own)).astype(np.uint64)
+        dealt = bucket_of(own, bits, buckets)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(dealt)) + 1, [len(own)]]).tolist() if len(own) else [0, 0]
+        cuts = list(zip(edges[:-1], edges[1:]))
+        told = [[packed_bits(np.diff(own[a:b], prepend=own[a : a + 1])) for a, b in cuts], *([squeezed(x[a:b]) for a, b in cuts] for x in (n_target, n_all.astype(np.uint64)))]
+        heads = [(int(dealt[a]), int(own[a])) if a < b else (0, 0) for a, b in cuts]
+        sides = [np.packbits(target).tobytes(), *[None] * (len(cuts) - 1)]  # once for each block
+        made = [pa.array(np.full(len(cuts), block), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*heads)), pa.array(sides, pa.binary()), *(pa.array(x, pa.binary()) for x in told)]
+        return pa.Table.from_arrays(made, names=["block", "bucket", "head", "sides", "grams", "n_target", "n"])
 
     def answer(asked: pa.Table) -> pa.Table:
-        rows = {c: asked.column(c).to_pylist() for c in ("grams", "n_target", "n")}
-        each = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in rows["grams"]]
+        rows = {c: asked.column(c).to_pylist() for c in ("grams", "n_target", "n", "head")}
+        each = [np.cumsum(unpacked_bits(x), dtype=np.uint64) + U64(h) for x, h in zip(rows["grams"], rows["head"])]
         own, where = np.unique(np.concatenate(each), return_inverse=True)
         stops = np.cumsum([len(x) for x in each])[:-1]
         made = []
         for c in ("n_target", "n"):
-            sums = np.bincount(where, weights=np.concatenate([_numbers(x, np.uint32) for x in rows[c]]), minlength=len(own)).astype(np.uint64)
-            made.append(pa.array([_bytes(x) for x in np.split(sums[where], stops)], pa.binary()))
-        return pa.Table.from_arrays([*(asked.column(c) for c in ("block", "row", "rows", "bucket")), *made], names=["block", "row", "rows", "bucket", "n_target", "n"])
+            sums = np.bincount(where, weights=np.concatenate([unsqueezed(x) for x in rows[c]]), minlength=len(own)).astype(np.uint64)
+            made.append(pa.array([squeezed(x) for x in np.split(sums[where], stops)], pa.binary()))
+        return pa.Table.from_arrays([*(asked.column(c) for c in ("block", "bucket", "sides")), *made], names=["block", "bucket", "sides", "n_target", "n"])
 
     schema = StructType(list(kept))
     for name, kind in ADDED.items():
         schema = schema.add(name, kind)
     arrow = to_arrow_schema(schema)
 
-    def texts_of(block: int) -> pa.Table:
-        fs, path = _store.filesystem(paths.value[block >> 32])
-        with fs.open_input_file(path) as source:
-            file = pq.ParquetFile(source)
-            at = file.schema_arrow.names.index("__block")
-            spans = [file.metadata.row_group(i).column(at).statistics for i in range(file.num_row_groups)]
-            own = file.read_row_groups([i for i, s in enumerate(spans) if s is None or s.min <= block <= s.max], columns=[*names, "__block", "__row", "__target", "__text"])
-        own = own.filter(pa.compute.equal(own.column("__block"), block))
-        return own.sort_by("__row")
-
-    def scored(answers: pa.Table) -> pa.Table:
-        block = answers.column("block")[0].as_py()
-        whole, out = texts_of(block), []
-        answers = answers.sort_by([("row", "ascending"), ("bucket", "ascending")])
-        starts = answers.column("row").to_numpy()
-        for row in np.unique(starts).tolist():
-            told = answers.filter(pa.array(starts == row))
-            piece = whole.slice(row, told.column("rows")[0].as_py()).combine_chunks()
-            keys, pointers = gram_keys(piece.column("__text").combine_chunks())
-            place = np.unique(keys.ravel(), return_inverse=True)[1].reshape(3, -1)
-            n_target, n_all = (np.concatenate([_numbers(x, np.uint64) for x in told.column(c).to_pylist()]).astype(np.float64) for c in ("n_target", "n"))
-            marked = piece.column("__target").to_numpy(zero_copy_only=False).astype(bool)
-            n = np.diff(pointers)
-            means = []
-            for counts, member, words, texts, weight in zip((n_target, n_all - n_target), (marked, ~marked), words_in, texts_in, weights):
-                each = losses(place, counts, pointers, member, words, texts, weight, mu)
-                means.append(_text.segment_sums(each, pointers) / np.maximum(n, 1))
-            made = [n.astype(np.int64), means[0], means[1], means[0] - means[1]]
-            kinds = [arrow.field(x).type for x in names]
-            out.append(pa.Table.from_arrays([*(piece.column(x).cast(k, safe=False) for x, k in zip(names, kinds)), *(pa.array(x) for x in made)], schema=arrow))
-        return pa.concat_tables(out)
-
-    asked = table.select("__block", "__row", "__target", "__text").mapInArrow(ask, "block long, row int, rows int, bucket long, grams binary, n_target binary, n binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, row int, rows int, bucket long, n_target binary, n binary")
-    return answers.groupBy("block").applyInArrow(scored, schema)
+    def scored(told: pa.Table) -> pa.Table:
+        told = told.sort_by("bucket")
+        whole = texts_of(told.column("block")[0].as_py(), names)
+        target = np.unpackbits(np.frombuffer(told.column("sides").drop_null()[0].as_py(), np.uint8), count=whole.num_rows).astype(bool)
+        keys, pointers = gram_keys(whole.column("__text").combine_chunks(), bits)
+        place = np.unique(keys.ravel(), return_inverse=True)[1].reshape(3, -1)
+        n_target, n_all = (np.concatenate([unsqueezed(x) for x in told.column(c).to_pylist()]).astype(np.float64) for c in ("n_target", "n"))
+        n, means = np.diff(pointers), []
+        for counts, member, words, texts, weight in zip((n_target, n_all - n_target), (target, ~target), words_in, texts_in, weights):
+            each = losses(place, counts, pointers, member, words, texts, weight, mu)
+            means.append(_text.segment_sums(each, pointers) / np.maximum(n, 1))
+        made = [n.astype(np.int64), means[0], means[1], means[0] - means[1]]
+        kinds = [arrow.field(x).type for x in names]
+        return pa.Table.from_arrays([*(whole.column(x).cast(k, safe=False) for x, k in zip(names, kinds)), *(pa.array(x) for x in made)], schema=arrow)
+
+    asked = sides.repartition(parts, "__block").groupBy("__block").applyInArrow(ask, "block long, bucket long, head long, sides binary, grams binary, n_target binary, n binary")
+    answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "block long, bucket long, sides binary, n_target binary, n binary")
+    return answers.repartition(parts, "block").groupBy("block").applyInArrow(scored, schema)

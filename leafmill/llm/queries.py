@@ -75,9 +75,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document; texts labelled of quality 1 are the target."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.join(_store.written(good, "target-ids").hint("merge"), "doc_id", "left")  # one plan at every size
-    return lm_scoring.score(marked)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return lm_scoring.score(docs, good)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
