@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from leafmill.llm import components, fingerprints, jaccard_join
@@ -83,7 +84,7 @@ def test_one_of_each_group_stays(spark):
     docs = documents(spark)
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 4, 5, 6, 7, 8, 9, 10, 11, 12)] + [(True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13)] + [(True, 0)]
 
 
 def test_prefixes_are_shortened_to_the_recall():
@@ -92,6 +93,37 @@ def test_prefixes_are_shortened_to_the_recall():
     assert jaccard_join.prefix_depth(1, 6, 0.8, 0.99999) == 1
 
 
+def test_depths_follow_crowding_and_keep_the_recall():
+    rng = np.random.default_rng(2)
+    sizes = np.sort(np.maximum(1, rng.integers(-400, 300, (500, 16, 4))), axis=2)[:, :, ::-1]  # fewer share a longer prefix
+    depth = jaccard_join.chosen_depths(sizes, 3, 0.8, 0.999, 64)
+    assert (1 - np.prod(1 - 0.8 ** depth.astype(float), axis=1) >= 0.999).all()
+    assert len(np.unique(depth)) > 2 and depth.min() >= 3 and depth.max() <= 6
+    assert (jaccard_join.chosen_depths(np.ones((2, 16, 4), np.int64), 3, 0.8, 0.999, 64) == 4).all()
+    one = np.ones((1, 16, 4), np.int64)
+    one[0, 0] = [900, 800, 70, 5]
+    assert jaccard_join.chosen_depths(one, 3, 0.8, 0.999, 64)[0].tolist() == [6] + [4] * 15
+    one[0, :8] = [900, 800, 70, 65]
+    assert jaccard_join.chosen_depths(one, 3, 0.8, 0.999, 64)[0].tolist() == [6] * 8 + [3] * 8
+
+
+@pytest.mark.parametrize(("crowded", "block"), [(2, 4), (2, 1000), (64, 7)])
+def test_crowded_prefixes_and_many_blocks_lose_no_link(spark, crowded, block):
+    rows = near_copies(2, 30, 8) + [(1000 + i, t) for i, (_, t) in enumerate(near_copies(1, 6, 9))]
+    found = jaccard_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string"), crowded=crowded, block=block)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found.collect()) == sorted(brute_links(rows))
+
+
+def test_one_key_with_unlike_texts_loses_none(spark):
+    a, b, c = (words(i, 60, ENGLISH) for i in (31, 32, 33))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, c + " more"), (4, b + " end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.linked(docs).collect()}
+    assert got == {(1, 1, 1), (1, 1, 2), (2, 1, 1), (4, 1, 2), (3, 3, 1)}
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()]
+    assert len(kept) == 3 and {t[:20] for _, t in kept} == {a[:20], b[:20], c[:20]}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
