@@ -1,6 +1,13 @@
+from collections import Counter
+from itertools import combinations
+from math import log
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import url_rules
+from leafmill.llm.queries import QUERIES
 
 
 def verdicts(spark, urls, labelled):
@@ -20,3 +27,39 @@ def test_what_holds_for_most_urls_does_not_block(spark):
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     assert verdicts(spark, ["https://new.com/1", "https://site3.com/5", "https://casino.net/8"], labelled) == ["allow", "allow", "block"]
     assert verdicts(spark, ["https://casino.net/8"], labelled.where("bad")) == ["allow"]
+
+
+def known_urls(sf_dir):
+    """(url, bad) of what op9 learns from, by DuckDB."""
+    listed = "CASE WHEN host LIKE '%.example.org' AND (path LIKE '/es/%' OR path LIKE '/en/1%') THEN true WHEN host LIKE '%.org' THEN false WHEN host LIKE '%.com' AND path LIKE '/fr/%' THEN false WHEN host LIKE '%.com' AND path LIKE '/de/%' THEN true END"
+    return duckdb.connect().execute(f"""
+        WITH p AS (SELECT url, lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path FROM '{sf_dir}/pages.parquet'),
+        l AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM '{sf_dir}/labels.parquet' GROUP BY doc_id)
+        SELECT url, bad FROM p JOIN l ON l.doc_id = try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT)
+        UNION ALL SELECT url, {listed} FROM p WHERE {listed} IS NOT NULL""").fetchall()
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_verdicts_of_mined_rules_on_the_tables(spark, sf_dir, scale):
+    """Every combination of tokens, one by one."""
+    folder = sf_dir.replace("sf0.001", scale)
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("url", url_rules.tokens(F.col("url")).alias("t"))
+    tokens = {r.url: frozenset(r.t) for r in pages.collect()}
+    known = [(tokens[u], bad) for u, bad in known_urls(folder)]
+    share = sum(bad for _, bad in known) / len(known)
+    rows, hits = Counter(), Counter()
+    for t, bad in known:
+        for k in range(1, len(t) + 1):
+            for c in combinations(sorted(t), k):
+                rows[c] += 1
+                hits[c] += bad
+    frequent = [c for c in rows if hits[c] >= 8]
+    kl = lambda p, q: (p * log(p / q) if p else 0) + ((1 - p) * log((1 - p) / (1 - q)) if p < 1 else 0)
+    rules = [frozenset(c) for c in frequent if hits[c] / rows[c] >= 0.6 and hits[c] / rows[c] > share and rows[c] * kl(hits[c] / rows[c], share) >= log(len(frequent) / url_rules.ERROR)]
+    assert rules
+    judged = QUERIES["op9_url_rules"](spark, folder).join(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"), "page_id").collect()
+    unlisted = [r for r in judged if r.rule is None]
+    wanted = {r.page_id: "block" if any(c <= tokens[r.url] for c in rules) else "allow" for r in unlisted}
+    assert {r.page_id: r.verdict for r in unlisted} == wanted
+    print(scale, len(known), len(frequent), len(rules), sum(v == "block" for v in wanted.values()), len(unlisted))
+    assert scale == "sf0.01" or "block" in wanted.values()
