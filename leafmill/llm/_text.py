@@ -159,20 +159,39 @@ def segment_sums(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
 
 def rolling_grams(lowered: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
     """(size, 32-bit hashes of the ``size`` bytes from each position on), sizes ascending; rows are not looked at."""
-    codes = (BYTE_CODES >> U64(32)).astype(np.uint32)[lowered]
-    total = np.zeros(len(lowered), dtype=np.uint32)
-    for size in range(1, min(max(sizes), len(lowered)) + 1):
-        total = total[: len(lowered) - size + 1] * np.uint32(0x01000193) + codes[size - 1 :]
+    yield from rolling_codes((BYTE_CODES >> U64(32)).astype(np.uint32)[lowered], sizes)
+
+
+def rolling_codes(codes: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """As ``rolling_grams``, of any symbols given as 32-bit codes."""
+    total = np.zeros(len(codes), dtype=np.uint32)
+    for size in range(1, min(max(sizes), len(codes)) + 1):
+        total = total[: len(codes) - size + 1] * np.uint32(0x01000193) + codes[size - 1 :]
         if size in sizes:
             h = (total ^ (total >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             yield size, h ^ (h >> np.uint32(13))
 
 
-def row_grams(lowered: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit codes of the characters of UTF-8 texts (a code point each), and the rows' offsets in them."""
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(lead)
+    width = np.diff(np.append(starts, len(data)))
+    whole = data[starts].astype(np.uint32)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(width > k)
+        whole[longer] |= data[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+    codes = (whole ^ (whole >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    codes = (codes ^ (codes >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return codes ^ (codes >> np.uint32(15)), np.concatenate([[0], np.cumsum(lead)])[offsets]
+
+
+def row_grams(codes: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes of the grams inside rows, pointers of the rows in them) for each size that occurs."""
-    for size, codes in rolling_grams(lowered, sizes):
+    for size, hashes in rolling_codes(codes, sizes):
         lengths = np.maximum(np.diff(offsets) - (size - 1), 0)
-        yield codes[windows_of(offsets, len(lowered), size)], np.concatenate([[0], np.cumsum(lengths)])
+        yield hashes[windows_of(offsets, len(codes), size)], np.concatenate([[0], np.cumsum(lengths)])
 
 
 def summed_vectors(rows, width: int):

@@ -222,13 +222,16 @@ def _prefix(tree: Column, level: Column, max_depth: int) -> Column:
 def asked_buckets(reps: DataFrame, *, trees: int, max_depth: int, shortest: int, threshold: float, target_recall: float, crowded: int) -> DataFrame:
     """``(bucket, n, tree, level, node)``: the members of every prefix that some text asks for and shares with another."""
     levels = F.array(*[F.lit(x) for x in range(shortest, max_depth + 1)])
+    # Joins are merge joins at every size, so that the plan of a small table is that of a large one.
     spread = reps.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    roots = spread.select("node", "tree", "sig", _prefix(F.col("tree"), F.lit(shortest), max_depth).alias("root"))
+    roots = spread.select("node", "tree", _prefix(F.col("tree"), F.lit(shortest), max_depth).alias("root"))
     shared = _store.written(roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "roots")
-    deeper = roots.join(shared, "root").select("node", "tree", "sig", F.explode(levels).alias("level")).select("node", "tree", "level", _prefix(F.col("tree"), F.col("level"), max_depth).alias("bucket"))
+    narrow = _store.written(roots.join(shared.hint("merge"), "root").select("node", "tree"), "shared-roots")
+    signed = narrow.join(reps.select("node", "sig").hint("merge"), "node")
+    deeper = signed.select("node", "tree", "sig", F.explode(levels).alias("level")).select("node", "tree", "level", _prefix(F.col("tree"), F.col("level"), max_depth).alias("bucket"))
     deeper = _store.written(deeper, "prefixes")
     counts = _store.written(deeper.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = _store.written(deeper.join(counts, "bucket"), "shared-prefixes")
+    members = _store.written(deeper.join(counts.hint("merge"), "bucket"), "shared-prefixes")
     held = members.groupBy("node").agg(F.collect_list(F.struct("tree", "level", "n", "bucket")).alias("held"))  # trees x levels at most
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +246,7 @@ def asked_buckets(reps: DataFrame, *, trees: int, max_depth: int, shortest: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(bucket[level == depth[owner, tree]]), pa.int64())], names=["bucket"])
 
     asked = _store.written(held.select("held").mapInArrow(choose, "bucket bigint").distinct(), "asked")
-    found = members.join(asked, "bucket", "left_semi")
+    found = members.join(asked.hint("merge"), "bucket", "left_semi")
     return found.select("bucket", "n", "tree", "level", "node")
 
 
@@ -254,7 +257,7 @@ def candidate_edges(reps: DataFrame, *, trees: int, max_depth: int, shortest: in
     members = asked_buckets(reps, trees=trees, max_depth=max_depth, shortest=shortest, threshold=threshold, target_recall=target_recall, crowded=crowded)
     blocks = F.ceil(F.col("n") / block)
     members = _store.written(members.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks"))).drop("n"), "asked-prefixes")
-    signed = members.join(reps.select("node", "sig"), "node").select("bucket", "b", "blocks", "tree", "level", "node", "sig")
+    signed = members.join(reps.select("node", "sig").hint("merge"), "node").select("bucket", "b", "blocks", "tree", "level", "node", "sig")
     folder = _store.new_folder(reps.sparkSession, "bucket-blocks")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +412,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, trees: int,
     sizes = _store.written(members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).alias("blocks")), "sizes")
     sized = members.join(sizes, "group").select("group", "node", "least", "copies", "blocks").withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")))
     sized = _store.written(sized, "sized")
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("least"), F.col(f"`{text}`").cast("string").alias("text")).join(sized, "least")
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("least"), F.col(f"`{text}`").cast("string").alias("text")).join(sized.hint("merge"), "least")
 
     kept = ("group", "b", "blocks", "node", "copies")
 

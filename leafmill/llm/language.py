@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts byte n-grams (orders 1 to 3, A-Z lowered) per language over every
-labelled text, in ``2 ** bits`` hash buckets.  Each task sums its own texts into one
+Training counts n-grams of characters (code points, orders 1 to 3, lower-cased) per
+language over every labelled text, in ``2 ** bits`` hash buckets.  Each task sums its own texts into one
 dense vector per language, and the vectors are added up by language and slice, so
 what meets in one task has a fixed size.  The log-probability matrix (buckets by
 languages) is broadcast after its size is checked against ``max_model_bytes``.
@@ -44,8 +44,11 @@ class Model:
 
 
 def _grams(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    data, offsets = _text.utf8(column)
-    for codes, pointers in _text.row_grams(_text.LOWER[data], offsets, orders):
+    try:
+        column = pc.utf8_lower(pc.fill_null(column, ""))
+    except pa.ArrowInvalid:
+        pass  # bytes that are no UTF-8 have no case
+    for codes, pointers in _text.row_grams(*_text.characters(*_text.utf8(column)), orders):
         yield (codes >> np.uint32(32 - bits)).astype(np.int64), pointers
 
 

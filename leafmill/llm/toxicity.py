@@ -6,10 +6,11 @@ Training takes at most ``max_rows`` labelled rows per class (those with the smal
 key hashes; the class weights restore the labels' proportions).  It counts in how many texts of either class each feature
 occurs, keeps the ``n_features`` with the strongest association, and fits logistic
 regression under an L2 penalty and a counterfactual one: each labelled sentence that
-holds an identity term is also seen with the term swapped for every other of its
-group, and ``swap_weight`` times the mean squared change of the logit is added to
-the loss.  So group names as such cannot move a score, which keeps neutral mentions
-from being flagged.
+holds an identity term, and each neutral mention of ``TEMPLATES``, is also seen with the
+term swapped for every other of its group, and ``swap_weight`` times the mean squared
+change of the logit is added to the loss.  So group names as such cannot move a score,
+which keeps neutral mentions from being flagged; the templates make that hold for terms
+that no labelled text has, whose letters may be those of other words.
 
 Defined results: null and empty texts get the score of no features; unlabelled rows
 and rows whose label is null teach nothing; with one class or no labels at all every
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ IDENTITY_GROUPS = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
+#: Neutral mentions of a group, seen with every term that fits.
+TEMPLATES = ("{} are our neighbours.", "My friends are {}.", "The new colleague is {}.", "We talked about {} history in school.")
 SIZES = (4, 5, 6)
 _SLICES = 32
 
@@ -113,6 +117,18 @@ def swapped_sentences(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_
                 yield sentence, pattern.sub(lambda m: group[(group.index(m[0].lower()) + turn) % len(group)] if m[0].lower() in group else m[0], sentence)
 
 
+def neutral_pairs(groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> list[tuple[str, str]]:
+    """The templates with each term, paired with those of every other term of its group."""
+    return [(t.format(a), t.format(b)) for t in TEMPLATES for group in groups for a in group for b in group if a < b]
+
+
+def _changes(pairs: list[tuple[str, str]], kept: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """``(-1, features of the first text alone, of the second alone)`` of each pair."""
+    owner, feature = features_of(pa.array([x for p in pairs for x in p], pa.string()), kept, bits)
+    split = np.split(feature, np.searchsorted(owner, np.arange(1, 2 * len(pairs))))
+    return [(-1, np.setdiff1d(a, b).astype("<i4").tobytes(), np.setdiff1d(b, a).astype("<i4").tobytes()) for a, b in zip(split[::2], split[1::2])]
+
+
 def _document_counts(labelled: DataFrame, bits: int) -> np.ndarray:
     """Texts with each bucket, by class: a (2, 2 ** bits) matrix."""
     width = (1 << bits) // _SLICES
@@ -231,9 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                     for text in part.column("text").to_pylist():
                         pairs = list(dict.fromkeys(swapped_sentences(text, groups)))
                         if pairs:
-                            owner, feature = features_of(pa.array([x for p in pairs for x in p], pa.string()), kept, bits)
-                            split = np.split(feature, np.searchsorted(owner, np.arange(1, 2 * len(pairs))))
-                            out += [(-1, np.setdiff1d(a, b).astype("<i4").tobytes(), np.setdiff1d(b, a).astype("<i4").tobytes()) for a, b in zip(split[::2], split[1::2])]
+                            out += _changes(pairs, kept, bits)
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["label", "a", "b"])
 
         return run
@@ -244,16 +258,17 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     size = int((kept >= 0).sum())
     y, sizes, change_sizes = [], [], []
     parts, change_parts, signs = bytearray(), bytearray(), bytearray()  # one buffer each, not an object a row
-    for row in sample.mapInArrow(rows_of(kept), "label int, a binary, b binary").toLocalIterator():
-        n_a, n_b = len(row.a) // 4, len(row.b) // 4
-        if row.label >= 0:
-            y.append(row.label)
+    neutral = neutral_pairs(groups)
+    for label_, a, b in chain(sample.mapInArrow(rows_of(kept), "label int, a binary, b binary").toLocalIterator(), _changes(neutral, kept, bits) if neutral else ()):
+        n_a, n_b = len(a) // 4, len(b) // 4
+        if label_ >= 0:
+            y.append(label_)
             sizes.append(n_a)
-            parts += row.a
+            parts += a
         elif n_a or n_b:
             change_sizes.append(n_a + n_b)
-            change_parts += row.a
-            change_parts += row.b
+            change_parts += a
+            change_parts += b
             signs += b"\x01" * n_a + b"\xff" * n_b
     if not y or not size:
         empty.bias = float(np.log((found[1] + 0.5) / (found[0] + 0.5)))
