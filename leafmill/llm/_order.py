@@ -17,7 +17,8 @@ PART_BYTES = 8 << 20
 def in_order(docs: DataFrame, key: str, text: str, *, neighbours: bool = False, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
     """``(part, own, key, text)`` sorted by (key, text) inside each part, parts ascending by key; and their number.
 
-    Null keys come first.  With ``neighbours``, each part that has rows also ends with
+    Null keys come first.  At most 100,000 parts are made, so that their bounds stay small;
+    larger tables have larger parts, which their readers take as a stream.  With ``neighbours``, each part that has rows also ends with
     a copy (``own`` false) of the first row of the next one, the last part with that of
     the first.  Only part bounds and first keys, as many as there are parts, come to the driver.
     """
@@ -32,7 +33,9 @@ def in_order(docs: DataFrame, key: str, text: str, *, neighbours: bool = False,
     def part_of(keys: pa.Array) -> np.ndarray:
         return np.where(np.asarray(pc.is_null(keys)), 0, np.searchsorted(bounds, pc.fill_null(keys, 0).to_numpy(zero_copy_only=False), side="right"))
 
-    back: dict[int, tuple[int, int | None]] = {}  # part -> (part before it, its first key)
+    # For each part, the one before it that has rows (-1: none), and its first key.
+    before = np.full(len(bounds) + 1, -1, dtype=np.int32)
+    first_key, first_null = np.zeros(len(before), dtype=np.int64), np.zeros(len(before), dtype=bool)
     if neighbours:
 
         def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +51,10 @@ def in_order(docs: DataFrame, key: str, text: str, *, neighbours: bool = False,
             yield pa.RecordBatch.from_arrays([pa.array(least.keys(), pa.int32()), pa.array(least.values(), pa.int64())], names=["part", "first"])
 
         heads = {r.part: r.first_key for r in rows.select("key").mapInArrow(firsts, "part int, first bigint").groupBy("part").agg(F.min("first").alias("first_key")).collect()}
-        used = sorted(heads)
-        back = {p: (used[i - 1], None if heads[p] == np.iinfo(np.int64).min else heads[p]) for i, p in enumerate(used)}
+        used = np.array(sorted(heads), dtype=np.int64)
+        before[used] = np.roll(used, 1)
+        first_key[used] = [heads[p] for p in used.tolist()]
+        first_null = first_key == np.iinfo(np.int64).min
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,10 +63,11 @@ def in_order(docs: DataFrame, key: str, text: str, *, neighbours: bool = False,
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.ones(len(part), dtype=bool)), keys, batch.column(1)], names=["part", "own", "key", "text"])
             null = np.asarray(pc.is_null(keys))
             values = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
-            copies = [i for i in range(len(part)) if int(part[i]) in back and (null[i] if back[int(part[i])][1] is None else not null[i] and values[i] == back[int(part[i])][1])]
-            if copies:
+            at = before[part]
+            copies = np.flatnonzero((at >= 0) & (null == first_null[part]) & (null | (values == first_key[part])))
+            if len(copies):
                 take = pa.array(copies)
-                yield pa.RecordBatch.from_arrays([pa.array([back[int(part[i])][0] for i in copies], pa.int32()), pa.array(np.zeros(len(copies), dtype=bool)), keys.take(take), batch.column(1).take(take)], names=["part", "own", "key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[copies], pa.int32()), pa.array(np.zeros(len(copies), dtype=bool)), keys.take(take), batch.column(1).take(take)], names=["part", "own", "key", "text"])
 
     routed = rows.mapInArrow(route, "part int, own boolean, key bigint, text string")
     n = len(bounds) + 1

@@ -10,9 +10,10 @@ File: magic, length of a JSON header (uint32), header, sections.  The header giv
 section's place: per level ``chunks``, ``bits`` and ``ranks``; ``keys`` (int64), ``null_keys``
 and ``starts`` (int64, one more than the documents) of the documents.
 
-Writing puts documents in ascending key order over numbered files (parts of the key
-range, one for each task), each under a temporary name first and then renamed, so
-a lost task leaves no half file.  Defined results: null and empty texts are the end id
+Writing puts documents in ascending key order over numbered files: one or more for each
+part of the key range (a task), begun anew at ``file_tokens`` ids, so that memory is bounded
+by a file (and a document) at any part size.  Each is written under a temporary name and
+then renamed, so a lost task leaves no half file.  Defined results: null and empty texts are the end id
 alone; null keys come first; repeated keys stand next to each other, ordered by text;
 an empty table gives no file and no row.
 """
@@ -34,6 +35,7 @@ from leafmill.llm.tokens import Encoder
 
 MAGIC = b"DACTOK1\n"
 RANK_STEP = 512
+FILE_TOKENS = 1 << 25
 
 
 def encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,13 +105,27 @@ class Reader:
         return int(self.tokens(i, i + 1)[0])
 
 
-def write(docs: DataFrame, folder: str, *, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> list[tuple[str, int]]:
-    """Write the files and return their paths with the ids before each, in key order (one entry for each part)."""
+def write(docs: DataFrame, folder: str, *, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, file_tokens: int = FILE_TOKENS) -> list[tuple[str, int]]:
+    """Write the files and return their paths with the ids before each, in key order (one entry for each file)."""
     ordered, _ = _order.in_order(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        keys, nulls, parts, sizes, number = [], [], [], [], None
+        keys, nulls, parts, sizes = [], [], [], []
+        number = made = held = 0
+
+        def saved() -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            done = len(starts) - 1  # the keys after it have no ids yet
+            key_row, null_row = np.concatenate(keys), np.concatenate(nulls)
+            path = f"{folder}/part-{number:06d}-{made:06d}.dac"
+            fs, at = _store.filesystem(path)
+            _store.put_file(fs, at, file_bytes(key_row[:done], null_row[:done], starts, np.concatenate(parts)))
+            keys[:], nulls[:] = [key_row[done:]], [null_row[done:]]
+            parts.clear()
+            sizes.clear()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([made], pa.int32()), pa.array([path]), pa.array([int(starts[-1])], pa.int64())], names=["part", "file", "path", "tokens"])
+
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 number = part.column("part")[0].as_py()
@@ -118,15 +134,16 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str, key: str = "doc_id",
                 for ids, pointers in encoder.encode(part.column("text")):
                     parts.append(np.insert(ids, pointers[1:], end_id).astype(np.uint16 if ids.max(initial=end_id) < 1 << 16 else np.uint32))
                     sizes.append(np.diff(pointers) + 1)
-        if number is not None:
-            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            fs, root = _store.filesystem(folder)
-            _store.put_file(fs, f"{root}/part-{number:06d}.dac", file_bytes(np.concatenate(keys), np.concatenate(nulls), starts, np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([f"{folder}/part-{number:06d}.dac"]), pa.array([int(starts[-1])], pa.int64())], names=["part", "path", "tokens"])
-
-    made = sorted((r.part, r.path, r.tokens) for r in ordered.mapInArrow(run, "part int, path string, tokens bigint").collect())
-    before = accumulate((m[2] for m in made), initial=0)
-    return [(path, start) for (_, path, _), start in zip(made, before)]
+                    held += len(parts[-1])
+                    if held >= file_tokens:
+                        yield saved()
+                        made, held = made + 1, 0
+        if sizes:
+            yield saved()
+
+    listed = sorted((r.part, r.file, r.path, r.tokens) for r in ordered.mapInArrow(run, "part int, file int, path string, tokens bigint").collect())
+    before = accumulate((m[3] for m in listed), initial=0)
+    return [(path, start) for (_, _, path, _), start in zip(listed, before)]
 
 
 def read(spark: SparkSession, files: list[tuple[str, int]], *, key: str = "doc_id") -> DataFrame:

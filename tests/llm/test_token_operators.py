@@ -118,5 +118,8 @@ def test_files_are_read_back_in_key_order(spark, tmp_path):
         wanted.append(((r.doc_id is not None, r.doc_id or 0), start, len(own), zlib.crc32(own.tobytes())))
         start += len(own)
     assert got == sorted(wanted)
+    small = token_files.write(docs, str(tmp_path / "small"), tokenizer=PATH, file_tokens=3)
+    cut = sorted(((r.doc_id is not None, r.doc_id or 0), r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, small).collect())
+    assert len(small) >= len(files) and cut == got
     again = token_files.write(nothing(spark), str(tmp_path / "n"), tokenizer=PATH)
     assert again == [] and token_files.read(spark, again).count() == 0
