@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES = 8 << 20
+PART_BYTES, UNKNOWN = 8 << 20, 1 << 60
 
 
 def in_order(docs: DataFrame, key: str, text: str, *, neighbours: bool = False, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
@@ -25,6 +25,8 @@ def in_order(docs: DataFrame, key: str, text: str, *, neighbours: bool = False,
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:  # not a table's: Spark takes the greatest number for plans it knows nothing of
+        size = rows.select(F.sum(F.octet_length("text") + 8).alias("size")).first().size or 0
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / part_bytes)), 100_000)
     shares = [i / parts for i in range(1, parts)]
     found = rows.select(F.percentile_approx("key", F.array(*map(F.lit, shares)), F.lit(20 * parts)).alias("b")).first().b if shares else []
