@@ -134,3 +134,8 @@ def with_base(html: Column, url: Column, script: str = "") -> Column:
     place = F.when(at("head") > 0, at("head")).when(at("html") > 0, at("html")).otherwise(at("!doctype"))
     made = F.concat(F.substring(html, F.lit(1), place), base, F.substring(html, place + 1, F.length(html)))
     return F.concat(F.when(F.instr(F.lower(html), "<base") > 0, html).otherwise(made), F.lit(script))
+
+
+def number_list(values: Column) -> Column:
+    """Numbers of an array with commas between, in its order."""
+    return F.array_join(values.cast("array<string>"), ",")

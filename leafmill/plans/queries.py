@@ -229,6 +229,13 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.merge_documents(rows, rows.select("doc").distinct().withColumn("seq", F.col("doc"))).select("doc", "page", F.col("merged_page").cast("bigint").alias("merged_page"))
 
 
+@query(f"WITH {LINES} SELECT doc, string_agg(page, ',' ORDER BY page) AS removed FROM lines WHERE page % 3 = 0 GROUP BY doc")
+def removed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The removed pages of each document, as reports name them."""
+    gone = _lines(spark, sf_dir).where("page % 3 = 0").groupBy("doc").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    return gone.select("doc", names.number_list(F.col("pages")).alias("removed"))
+
+
 _BOXES = "boxes AS (SELECT doc, page AS pos, text, CAST((page * 37) % 5 AS DOUBLE) * 100 AS x, CAST(page // 3 AS DOUBLE) * 30 + CAST(page % 3 AS DOUBLE) * 2.5 AS y, CAST(20 + page % 2 AS DOUBLE) AS height FROM lines)"
 
 
