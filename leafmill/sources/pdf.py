@@ -556,14 +556,14 @@ def from_text(text: str, *, sheet: tuple[float, float] = (595.276, 841.89), marg
     return with_pages(doc, pages)
 
 
-def from_jpeg(raw: bytes, sheet: tuple[float, float] | None = (595.276, 841.89)) -> Document:
-    """One page that shows a JPEG untouched, fitted and centred; without a sheet, the page is the picture at its resolution."""
+def from_jpeg(raw: bytes, sheet: tuple[float, float] | None = (595.276, 841.89), dpi: float | None = None) -> Document:
+    """One page that shows a JPEG untouched, fitted and centred; without a sheet, the page is the picture at ``dpi`` or its own resolution."""
     found = rasters.jpeg_at(raw)
     if found is None:
         raise Unreadable("not a whole JPEG file")
     _, width, height = found
     if sheet is None:
-        scale = 72.0 / (rasters.dpi(raw) or 96.0)
+        scale = 72.0 / (dpi or rasters.dpi(raw) or 96.0)
         sheet = (width * scale, height * scale)
     elif (width > height) != (sheet[0] > sheet[1]):
         sheet = sheet[::-1]
