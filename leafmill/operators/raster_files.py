@@ -31,6 +31,30 @@ def as_array(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return image[..., 0] if channels == 1 else image[..., [2, 1, 0, *range(3, channels)]]
 
 
+def pictures_of(rows: DataFrame, path: str, data: str, width: int = 64) -> DataFrame:
+    """``(path, content)``: bytes as gray PNG files of a width, the last row filled up with zeros; null and empty ones are one row of zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("path"), batch.column("content")):
+                held = np.frombuffer(raw.as_py() or b"\0", np.uint8)
+                made = rasters.png_file(np.pad(held, (0, -len(held) % width)).reshape(-1, width))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([made], pa.binary())], names=["path", "content"])
+
+    return rows.select(F.col(path).cast("string").alias("path"), F.col(data).cast("binary").alias("content")).mapInArrow(run, "path string, content binary")
+
+
+def pixel_bytes(files: DataFrame) -> DataFrame:
+    """``(path, page, width, height, channels, data, error)``: the pixels of each frame, row by row."""
+
+    def of(raw: bytes) -> Iterator[dict]:
+        for i, image in enumerate(frames.frames(raw)):
+            yield {"page": i + 1, "width": image.shape[1], "height": image.shape[0], "channels": 1 if image.ndim == 2 else image.shape[2], "data": image.tobytes()}
+
+    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("data", pa.binary()), ("error", pa.string())])
+    return _rows(files, schema, "path string, page int, width int, height int, channels int, data binary, error string", of)
+
+
 def _sized(image: np.ndarray, sheet: tuple[float, float] | None, dpi: int) -> np.ndarray:
     """No larger than a sheet asks for at a resolution, whichever way the picture lies; 0 leaves it."""
     h, w = image.shape[:2]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry, names, parsers, recognition, text
-from leafmill.operators import batches, images, pages, pdf_files
+from leafmill.operators import batches, images, pages, pdf_files, raster_files
 from leafmill.plans import recognition as recognition_plans
 from leafmill.sources import documents, html
 
@@ -735,3 +735,22 @@ def recognition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = spark.createDataFrame([], "key string, payload string")
     found, _ = recognition_plans.recognised(wanted, cache, lambda raw: f"read {len(raw.decode())}")
     return recognition_plans.texts(rows, found).select("doc", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SELECT doc_id, CAST(1 AS INT) AS page, CAST(64 AS INT) AS width, CAST(greatest(1, (strlen(text) + 63) // 64) AS INT) AS height, md5(text) AS bytes FROM documents")
+def png_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pixels of PNG files, written and read back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = raster_files.pixel_bytes(raster_files.pictures_of(docs, "doc_id", "text"))
+    return read.select(F.col("path").cast("bigint").alias("doc_id"), "page", "width", "height", F.md5(F.expr("rtrim(decode(unhex('00'), 'UTF-8'), decode(data, 'UTF-8'))").cast("binary")).alias("bytes"))
+
+
+@query("""WITH d AS (SELECT doc_id, greatest(1, (strlen(text) + 63) // 64) AS rows FROM documents)
+SELECT doc_id, CAST(1 AS INT) AS page, round(64 * 0.75, 6) + CAST(0 AS DOUBLE) AS width, round(rows * 0.75, 6) + CAST(0 AS DOUBLE) AS height, CAST(1 AS INT) AS images, CAST(NULL AS VARCHAR) AS error FROM d""")
+def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG files as JPEGs on pages of PDF files at 96 dots an inch, read back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = raster_files.image_documents(raster_files.pictures_of(docs, "doc_id", "text"), sheet=None)
+    read = pdf_files.pages(made.where("error is null")).select("path", "page", "width", "height", "images", "error")
+    failed = made.where("error is not null").select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("width", "double"), ("height", "double"), ("images", "int"))), "error")
+    return read.unionByName(failed).select(F.col("path").cast("bigint").alias("doc_id"), "page", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"), "images", "error")
