@@ -154,6 +154,22 @@ def stamp_position(anchor: Column, x: Column, y: Column, left: Column, bottom: C
     return F.struct((column + x * mm).alias("x"), (row + y * mm).alias("y"))
 
 
+def upright_stamp(x: Column, y: Column, width: Column, height: Column, left: Column, bottom: Column, right: Column, top: Column, rotation: Column) -> Column:
+    """The six entries that draw the unit square as a box of the displayed page, upright whatever its rotation."""
+    box = (left, bottom, right, top, rotation)
+    (ox, oy), (rx, ry), (ux, uy) = (display_to_page(a, b, *box) for a, b in ((x, y), (x + width, y), (x, y + height)))
+    return F.array(rx - ox, ry - oy, ux - ox, uy - oy, ox, oy)
+
+
+def mark_size(unit_width: Column, angle: Column, width: Column, height: Column) -> Column:
+    """Size of a mark that has none: 0.8 of the page's width, or 0.6 of its diagonal for a turned text, a fifth of the height at most.
+
+    ``unit_width`` is the text's width at size 1; a text without width gets size 12.
+    """
+    span = F.when(F.abs(F.sin(F.radians(angle))) > 0.01, F.hypot(width, height) * 0.6).otherwise(width * 0.8)
+    return F.when(unit_width > 0, F.least(span / unit_width, height * 0.2)).otherwise(F.lit(12.0))
+
+
 def page_resize(left: Column, bottom: Column, right: Column, top: Column, rotation: Column, sheet: tuple[float, float] = A4) -> Column:
     """``struct<scale, x, y, width, height>`` that fits a page, centred, onto a sheet lying its way; null if it has that size."""
     raw_w, raw_h = F.abs(right - left), F.abs(top - bottom)

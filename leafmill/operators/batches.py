@@ -115,6 +115,42 @@ def line_boxes(words: DataFrame) -> DataFrame:
     return words.groupBy("doc", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("y") + F.col("height")).alias("bottom"))
 
 
+def merged_outputs(inputs: DataFrame, existing: DataFrame) -> DataFrame:
+    """``(batch, file)``: a name for the merged file of each batch of ``inputs (batch, seq, path)``, none of ``existing (path)`` or its inputs.
+
+    A single input gives ``first.pdf``; several, or a taken name, give ``first_merged.pdf``
+    or the first free one of ``first_merged_2.pdf``, ``first_merged_3.pdf``, ...
+    """
+    stem = F.regexp_replace("path", r"(?<=[^/])\.[^./]*$", "")
+    first = inputs.groupBy("batch").agg(F.min_by("path", "seq").alias("path"), F.count("*").alias("n")).select("batch", "n", stem.alias("stem"))
+    pattern = r"(?s)^(.*)_merged(?:_([2-9]|[1-9][0-9]+))?\.pdf$"
+    digits = F.regexp_extract("path", pattern, 2)
+    number = F.when(digits == "", F.lit(1).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    plain_name = F.struct(F.expr("left(path, length(path) - 4)").alias("stem"), F.lit(0).cast("bigint").alias("number"))
+    merged_name = F.when(F.col("path").rlike(pattern), F.struct(F.regexp_extract("path", pattern, 1).alias("stem"), number.alias("number")))
+
+    def held(paths: DataFrame, *keys: str) -> DataFrame:
+        """Stems and numbers (0 for the stem alone) that PDF paths take."""
+        made = paths.where(F.col("path").endswith(".pdf")).select(*keys, F.explode(F.array_compact(F.array(plain_name, merged_name))).alias("t"))
+        return made.select(*keys, "t.*").where("number is not null")
+
+    own = held(inputs, "batch").join(first.select("batch", "stem"), ["batch", "stem"], "left_semi")
+    other = held(existing).join(first.select("batch", "stem"), "stem").select("batch", "stem", "number")
+    taken = own.select("batch", "number").union(other.select("batch", "number")).distinct()
+    run = F.row_number().over(Window.partitionBy("batch").orderBy("number"))
+    free = taken.where("number > 0").withColumn("run", run).where("number = run").groupBy("batch").agg(F.max("run").alias("last"))
+    plain = taken.where("number = 0").select("batch", F.lit(True).alias("plain"))
+    next_free = F.coalesce("last", F.lit(0)) + 1
+    name = F.when((F.col("n") == 1) & F.col("plain").isNull(), "").when(next_free == 1, "_merged").otherwise(F.concat(F.lit("_merged_"), next_free.cast("string")))
+    return first.join(plain, "batch", "left").join(free, "batch", "left").select("batch", F.concat("stem", name, F.lit(".pdf")).alias("file"))
+
+
+def checked_ranges(files: DataFrame) -> DataFrame:
+    """Files ``(path, format, pages)`` with ``error``: page ranges are for PDF files alone."""
+    wrong = F.col("pages").isNotNull() & ~F.col("format").eqNullSafe("pdf")
+    return files.withColumn("error", F.when(wrong, F.concat(F.lit("page ranges are only valid for PDF inputs: "), "path")))
+
+
 def unique_paths(rows: DataFrame, path: str, order: str) -> DataFrame:
     """``rows`` with ``file``: the path, or with ``_2``, ``_3``, ... at its stem where an earlier row took it.
 

@@ -33,6 +33,11 @@ def largest_image(images: DataFrame) -> DataFrame:
     return images.groupBy("doc", "page").agg(F.max_by("image", F.struct("area", "pos")).alias("image"), F.max("area").alias("area"))
 
 
+def largest_decodable(images: DataFrame) -> DataFrame:
+    """The largest image of a page whose decoding gave no error; pages without one are left out."""
+    return largest_image(images.where("error is null"))
+
+
 def labelled_images(images: DataFrame, least_area: int = 0) -> DataFrame:
     """``page_p`` or ``page_p_image_i``, i by area from the largest, of the images of at least an area."""
     kept = images.where(F.col("area") >= least_area)

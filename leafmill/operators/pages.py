@@ -91,6 +91,27 @@ def layout_rows(lines: DataFrame, same_row: float = 0.35) -> DataFrame:
     return joined.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda z: z["line"]), "\n").alias("text"), F.count("*").alias("rows"))
 
 
+def text_objects(words: DataFrame) -> DataFrame:
+    """Words ``(doc, pos, text, line_y)`` that are not blank with ``object``, from 1: a new one begins where the line's height changes."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    shown = words.where(F.col("text").rlike(r"[^\s\p{Z}]"))
+    starts = shown.withColumn("__new", F.when(F.lag("line_y").over(order) == F.col("line_y"), 0).otherwise(1))
+    return starts.withColumn("object", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def reading_order(words: DataFrame) -> DataFrame:
+    """Words ``(doc, pos, x, y, height)`` with ``place``, from 1: by the height of their centres, then from the left."""
+    order = Window.partitionBy("doc").orderBy(F.col("y") + F.col("height") / 2, "x", "pos")
+    return words.withColumn("place", F.row_number().over(order))
+
+
+def placed_stamps(placements: DataFrame, pages: DataFrame) -> DataFrame:
+    """Placements ``(doc, page, ...)`` with ``error``: a stamp for a page that its document does not have."""
+    there = pages.select("doc", "page").distinct().withColumn("__there", F.lit(True))
+    missing = F.when(F.col("__there").isNull(), F.concat(F.lit("stamp page "), F.col("page").cast("string"), F.lit(" does not exist")))
+    return placements.join(there, ["doc", "page"], "left").withColumn("error", missing).drop("__there")
+
+
 def outline_links(items: DataFrame) -> DataFrame:
     """Previous and next item of each outline item ``(doc, parent, item)`` under its parent."""
     order = Window.partitionBy("doc", "parent").orderBy("item")

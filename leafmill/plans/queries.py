@@ -754,3 +754,88 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = pdf_files.pages(made.where("error is null")).select("path", "page", "width", "height", "images", "error")
     failed = made.where("error is not null").select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("width", "double"), ("height", "double"), ("images", "int"))), "error")
     return read.unionByName(failed).select(F.col("path").cast("bigint").alias("doc_id"), "page", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"), "images", "error")
+
+
+@query(f"""WITH {_SHEETS}, b AS (SELECT *, 10.0 AS x, 20.0 AS y, 30.0 AS w, 5.0 AS h FROM sheets),
+m AS (SELECT doc, page, CASE rot WHEN 90 THEN [0.0, 30, -5, 0, (r - l) - 20, 10] WHEN 180 THEN [-30.0, 0, 0, -5, (r - l) - 10, (t - b) - 20] WHEN 270 THEN [0.0, -30, 5, 0, 20, (t - b) - 10] ELSE [30.0, 0, 0, 5, 10, 20] END AS m FROM b)
+SELECT doc, page, list_transform(m, lambda v: round(CAST(v AS DOUBLE), 6) + 0.0) AS m FROM m""")
+def upright_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of stamps that stay upright on turned pages."""
+    rows, _ = _sheets(spark, sf_dir)
+    m = geometry.upright_stamp(*map(F.lit, (10.0, 20.0, 30.0, 5.0)), *(F.col(c) for c in ("l", "b", "r", "t", "rot")))
+    return rows.select("doc", "page", F.transform(m, lambda v: F.round(v, 6) + 0.0).alias("m"))
+
+
+@query("""WITH g AS (SELECT p_partkey, CAST(length(p_name) * 0.5 AS DOUBLE) * (p_partkey % 10 > 0)::INT AS unit, CAST(p_partkey % 4 * 45 AS DOUBLE) AS angle, 300.0 + p_size AS w, CAST(400 AS DOUBLE) AS h FROM part)
+SELECT p_partkey, round(CASE WHEN unit = 0 THEN 12.0 ELSE least((CASE WHEN angle = 0 THEN w * 0.8 ELSE sqrt(w * w + h * h) * 0.6 END) / unit, h / 5) END, 6) AS size FROM g""")
+def mark_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of text marks that are to fill a page."""
+    key = F.col("p_partkey")
+    unit = F.length("p_name") * 0.5 * (key % 10 > 0).cast("int")
+    size = geometry.mark_size(unit, (key % 4 * 45).cast("double"), 300.0 + F.col("p_size"), F.lit(400.0))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.round(size, 6).alias("size"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT o_custkey AS batch, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'd/' || o_custkey || '_merged.pdf' ELSE 'd/' || o_custkey || '.' || (CASE WHEN o_orderkey % 3 = 0 THEN 'pdf' ELSE 'png' END) END AS path FROM orders),
+e AS (SELECT DISTINCT 'd/' || c_custkey || (CASE c_custkey % 4 WHEN 0 THEN '_merged_2' WHEN 1 THEN '_merged' WHEN 2 THEN '' ELSE '_merged_02' END) || '.pdf' AS path FROM customer),
+f AS (SELECT batch, count(*) AS n, regexp_replace(arg_min(path, seq), '[.][a-z]+$', '') AS stem FROM i GROUP BY batch),
+c AS (SELECT batch, stem, 0 AS k, CASE WHEN n = 1 THEN stem || '.pdf' ELSE stem || '_merged.pdf' END AS file FROM f
+UNION ALL SELECT c.batch, stem, k + 1, CASE WHEN file = stem || '.pdf' THEN stem || '_merged.pdf' WHEN file = stem || '_merged.pdf' THEN stem || '_merged_2.pdf' ELSE stem || '_merged_' || (CAST(regexp_extract(file, '_merged_([0-9]+)[.]pdf$', 1) AS INT) + 1) || '.pdf' END
+FROM c WHERE EXISTS (FROM e WHERE e.path = file) OR EXISTS (FROM i WHERE i.batch = c.batch AND i.path = file))
+SELECT batch, arg_max(file, k) AS file FROM c GROUP BY batch""")
+def merged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the merged files of batches, beside inputs and files that are there already."""
+    key, batch = F.col("o_orderkey"), F.col("o_custkey")
+    stem = F.concat(F.lit("d/"), batch.cast("string"))
+    path = F.when(key % 5 == 0, F.concat(stem, F.lit("_merged.pdf"))).otherwise(F.concat(stem, F.when(key % 3 == 0, ".pdf").otherwise(".png")))
+    inputs = _table(spark, sf_dir, "orders").select(batch.alias("batch"), key.alias("seq"), path.alias("path"))
+    k = F.col("c_custkey")
+    ending = F.when(k % 4 == 0, "_merged_2").when(k % 4 == 1, "_merged").when(k % 4 == 2, "").otherwise("_merged_02")
+    existing = _table(spark, sf_dir, "customer").select(F.concat(F.lit("d/"), k.cast("string"), ending, F.lit(".pdf")).alias("path"))
+    return batches.merged_outputs(inputs, existing)
+
+
+@query("""WITH f AS (SELECT p_partkey, 'f' || p_partkey || (CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.docx' END) AS path, CASE WHEN p_partkey % 2 = 0 THEN '1-' || p_size END AS pages FROM part)
+SELECT p_partkey, CASE WHEN pages IS NOT NULL AND NOT ends_with(path, '.pdf') THEN 'page ranges are only valid for PDF inputs: ' || path END AS error FROM f""")
+def checked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ranges given to files that have no pages."""
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("f"), key.cast("string"), F.when(key % 3 == 0, ".pdf").when(key % 3 == 1, ".png").otherwise(".docx"))
+    files = _table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), F.when(key % 2 == 0, F.concat(F.lit("1-"), F.col("p_size").cast("string"))).alias("pages"))
+    return batches.checked_ranges(names.with_format(files)).select("p_partkey", "error")
+
+
+@query(f"""WITH {LINES}, w AS (SELECT doc, page AS pos, text, CAST(page // 2 % 3 AS DOUBLE) AS line_y FROM lines WHERE regexp_matches(text, '[^\\s\\pZ]')),
+g AS (SELECT *, lag(line_y) OVER (PARTITION BY doc ORDER BY pos) AS old FROM w)
+SELECT doc, pos, CAST(sum(CASE WHEN old = line_y THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY pos) AS BIGINT) AS object FROM g""")
+def text_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text objects of words laid over a page, one for each line."""
+    words = _lines(spark, sf_dir).select("doc", F.col("page").alias("pos"), "text", (F.floor(F.col("page") / 2) % 3).cast("double").alias("line_y"))
+    return pages.text_objects(words).select("doc", "pos", F.col("object").cast("bigint").alias("object"))
+
+
+@query(f"""WITH {LINES}, w AS (SELECT doc, page AS pos, CAST(page * 7 % 5 AS DOUBLE) AS x, CAST(page % 3 AS DOUBLE) AS y, CAST(4 + page % 2 * 2 AS DOUBLE) AS height FROM lines)
+SELECT doc, pos, CAST(row_number() OVER (PARTITION BY doc ORDER BY y + height / 2, x, pos) AS INT) AS place FROM w""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in the order in which they are read."""
+    page = F.col("page")
+    words = _lines(spark, sf_dir).select("doc", page.alias("pos"), (page * 7 % 5).cast("double").alias("x"), (page % 3).cast("double").alias("y"), (4 + page % 2 * 2).cast("double").alias("height"))
+    return pages.reading_order(words).select("doc", "pos", "place")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_linenumber + CAST(l_partkey % 3 AS INT) AS wanted FROM lineitem)
+SELECT doc, page, wanted, CASE WHEN NOT EXISTS (FROM p o WHERE o.doc = p.doc AND o.page = p.wanted) THEN 'stamp page ' || wanted || ' does not exist' END AS error FROM p""")
+def placed_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps on pages, some of which are not there."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_linenumber") + (F.col("l_partkey") % 3).cast("int")).alias("wanted"))
+    placements = rows.select("doc", F.col("wanted").alias("page"), F.col("page").alias("own"))
+    made = pages.placed_stamps(placements, rows)
+    return made.select("doc", F.col("own").alias("page"), F.col("page").alias("wanted"), "error")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS doc, l_suppkey % 2 AS page, l_linenumber AS image, CAST(l_quantity AS DOUBLE) AS area, l_linenumber AS pos FROM lineitem WHERE l_partkey % 4 > 0)
+SELECT doc, page, arg_max(image, area * 1000 + pos) AS image, max(area) AS area FROM i GROUP BY doc, page""")
+def largest_decodable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest image of each page among those that could be decoded."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") % 2).alias("page"), F.col("l_linenumber").alias("image"), F.col("l_quantity").cast("double").alias("area"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_partkey") % 4 == 0, "broken").alias("error"))
+    return images.largest_decodable(rows)
