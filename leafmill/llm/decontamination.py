@@ -3,8 +3,10 @@
 Every window of ten consecutive words of a benchmark item (an item of fewer words
 is one window) goes into a hash set.  Training texts are scanned window by window
 against it; each hit is verified word by word before it counts.  The set is sent in
-blocks of about ``block_windows`` windows, so a broadcast never outgrows that bound
-whatever the benchmark's size; a batch is scanned against one block after another.
+blocks of at most ``block_windows`` windows and about ``block_bytes`` bytes of words and
+item numbers, so a broadcast never outgrows these bounds whatever the benchmark's size; a
+batch is scanned against one block after another.  Windows lie end to end in one buffer,
+so a worker holds little more than these bytes.
 
 Defined results: null and empty texts have no words and no hits; null item texts
 give no window; repeated documents give repeated rows; windows that several items
@@ -27,24 +29,31 @@ _BITS = 20
 
 
 class WindowSet:
-    """Windows of items by size: sorted hashes, their words and items, and a bit filter before the search."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list, list]] = {}
-        for size in sorted({len(w) for w in windows}):
-            keys = [w for w in windows if len(w) == size]
-            words = _text.Words(pa.array([b" ".join(k).decode("utf-8", "surrogatepass") for k in keys]))
+    """Windows of items by size: sorted hashes, their words end to end and their items by number, and a bit filter before the search."""
+
+    def __init__(self, windows: dict[bytes, list[str]]):
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]] = {}
+        numbers: dict[str, int] = {}
+        by_size: dict[int, list[bytes]] = {}
+        for key in windows:
+            by_size.setdefault(key.count(b" ") + 1, []).append(key)
+        for size, keys in sorted(by_size.items()):
+            words = _text.Words(pa.array(keys, pa.binary()).view(pa.string()))
             hashes = _text.window_hashes(words.hashes(), size)[words.first[:-1]]
             order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
+            hashes, keys = hashes[order], [keys[i] for i in order.tolist()]
             seen = np.zeros(1 << _BITS, dtype=bool)
             seen[hashes >> np.uint64(64 - _BITS)] = True
-            self.sizes[size] = (seen, hashes, [keys[i] for i in order], [windows[keys[i]] for i in order])
+            ends = np.cumsum([0, *map(len, keys)])
+            held = [[numbers.setdefault(item, len(numbers)) for item in windows[key]] for key in keys]
+            first = np.cumsum([0, *map(len, held)])
+            self.sizes[size] = (seen, hashes, b"".join(keys), ends, np.fromiter((n for own in held for n in own), np.int64, int(first[-1])), first)
+        self.items = list(numbers)
 
     def hits(self, words: _text.Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, size, items) of each verified occurrence in a batch."""
         codes = words.hashes()
-        for size, (seen, hashes, keys, items) in self.sizes.items():
+        for size, (seen, hashes, held, ends, items, first) in self.sizes.items():
             found = _text.window_hashes(codes, size)
             at = np.flatnonzero(seen[found >> np.uint64(64 - _BITS)])
             at = at[_text.windows_of(words.first, len(codes), size)[at]]
@@ -53,33 +62,36 @@ class WindowSet:
             at, slot = at[good], slot[good]
             good = hashes[slot] == found[at]
             for i, s in zip(at[good].tolist(), slot[good].tolist()):
+                own = b" ".join([words.word(i + k) for k in range(size)])
                 while s < len(hashes) and hashes[s] == found[i]:
-                    if all(words.word(i + k) == w for k, w in enumerate(keys[s])):
-                        yield i, size, items[s]
+                    if held[ends[s] : ends[s + 1]] == own:
+                        yield i, size, [self.items[n] for n in items[first[s] : first[s + 1]].tolist()]
                     s += 1
 
 
-def item_windows(rows: Iterator[tuple[str, str | None]], size: int) -> dict[tuple[bytes, ...], list[str]]:
-    windows: dict[tuple[bytes, ...], list[str]] = {}
+def item_windows(rows: Iterator[tuple[str, str | None]], size: int) -> Iterator[tuple[bytes, str]]:
+    """(words of a window with a space between two, item)."""
     for item, text in rows:
         words = _text.Words(pa.array([text], pa.string()))
         own = [words.word(i) for i in range(len(words.starts))]
         for i in range(max(1, len(own) - size + 1) if own else 0):
-            held = windows.setdefault(tuple(own[i : i + size]), [])
-            if item not in held:
-                held.append(item)
-    return windows
-
-
-def _blocks(items: DataFrame, item_id: str, item_text: str, size: int, block_windows: int) -> Iterator[WindowSet]:
-    windows: dict[tuple[bytes, ...], list[str]] = {}
-    for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
-        for key, held in item_windows(iter([(row.i, row.t)]), size).items():
-            own = windows.setdefault(key, [])
-            own.extend(x for x in held if x not in own)
-        if len(windows) >= block_windows:
+            yield b" ".join(own[i : i + size]), item
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, size: int, block_windows: int, block_bytes: int) -> Iterator[WindowSet]:
+    windows: dict[bytes, list[str]] = {}
+    held = 0
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator()
+    for key, item in item_windows(((r.i, r.t) for r in rows), size):
+        if key not in windows:
+            windows[key] = []
+            held += len(key)
+        if windows[key][-1:] != [item]:  # an item's windows come together
+            windows[key].append(item)
+            held += 8
+        if len(windows) >= block_windows or held >= block_bytes:
             yield WindowSet(windows)
-            windows = {}
+            windows, held = {}, 0
     if windows:
         yield WindowSet(windows)
 
@@ -109,11 +121,11 @@ def _scan(column: pa.Array, blocks: list) -> tuple[pa.Array, pa.Array, pa.Array]
     return pa.array(np.diff(words.first), pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_windows: int = 1_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_windows: int = 500_000, block_bytes: int = 64 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``) with ``n_words``, hit ``spans`` (in words and bytes) and ``items`` found."""
     spark = docs.sparkSession
     scanned = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("__text"))
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, size, block_windows)]
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, size, block_windows, block_bytes)]
     part_bytes = (1 if len(blocks) < 2 else 16) << 20
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

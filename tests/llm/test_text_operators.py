@@ -24,13 +24,13 @@ def brute_contamination(text, items, size=10):
     return len(own), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_windows", [1_000_000, 7])
-def test_contamination_equals_brute_force(spark, block_windows):
+@pytest.mark.parametrize("block", [{}, {"block_windows": 7}, {"block_bytes": 300}])
+def test_contamination_equals_brute_force(spark, block):
     docs = documents(spark)
     base = docs.where("doc_id = 1").first().text
     items = [(1, " ".join(base.split()[20:45])), (20, "A   b!"), (3, None), (4, ""), (5, " ".join(base.split()[40:52])), (6, "nowhere to be found")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontamination.find_contamination(docs, bench, block_windows=block_windows).select("doc_id", "n_words", decontamination.n_hit().alias("n_hit"), "items")
+    found = decontamination.find_contamination(docs, bench, **block).select("doc_id", "n_words", decontamination.n_hit().alias("n_hit"), "items")
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_hit, r["items"]) for r in found.collect())
     wanted = sorted(((r.doc_id is None, r.doc_id or 0), *brute_contamination(r.text, items)) for r in docs.collect())
     assert got == wanted
