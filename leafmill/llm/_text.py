@@ -54,9 +54,7 @@ def appended(docs: DataFrame, made: Callable[[pa.Array], list[pa.Array]], added:
             for part in slices(batch, own):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made(part.column(own))], names=[*names, *added])
 
-    schema = StructType(kept)
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
+    schema = StructType([*kept, *StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in added.items())).fields])
     columns = [F.col(f"`{n}`") for n in names]
     if not shared:
         columns.append(F.col(f"`{text}`").cast("string").alias("__text"))

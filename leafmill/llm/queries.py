@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import _store, decontamination, fingerprints, jaccard_join, language, lm_scoring, packing, token_files, toxicity, url_rules, warc
+from leafmill.llm import _store, decontamination, fingerprints, jaccard_join, language, lm_scoring, merkle, packing, runs, secret_scan, sql, token_files, toxicity, url_rules, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -111,6 +111,58 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, files)
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where the texts of every tenth document by checksum go on from word a with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    g = F.floor(F.col("h") / 10)
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return chosen.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which are made periodic first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = runs.with_runs(periodic_tails(docs))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = runs.strongest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = secret_scan.find(docs).select("doc_id", "secrets", F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE)).alias("base"))
+    return found.select(
+        "doc_id",
+        *(secret_scan.count_of(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.BASE),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; a third of them by checksum are checked with A-Z of their texts lowered."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.prove(docs, claimed={"text": F.when(tampered, lowered).otherwise(F.col("text"))})
+
+
 OP4_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -156,5 +208,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_rules": op9_url_rules,
     "op10_token_files": op10_token_files,
+    "op11_runs": op11_runs,
+    "op12_secrets": op12_secrets,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL}
+ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op12_secrets": sql.secrets(), "op13_merkle": sql.merkle()}
