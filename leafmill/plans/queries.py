@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry, names, parsers, recognition, text
-from leafmill.operators import batches, images, pages, pdf_files, raster_files
+from leafmill.operators import batches, images, markup, pages, pdf_files, raster_files
+from leafmill.plans import html_sql
 from leafmill.plans import recognition as recognition_plans
-from leafmill.sources import documents, html
+from leafmill.sources import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,17 +43,17 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines AS (SELECT doc_id AS doc, CAST(i AS INT) AS page, l[i] AS text, CAST(len(l) AS INT) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
 
-@query()
+@query(html_sql.HTML_TEXT)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of the pages."""
-    shown = html.with_text(_table(spark, sf_dir, "pages").select("page_id", "html"))
+    shown = markup.with_text(_table(spark, sf_dir, "pages").select("page_id", "html"))
     return shown.select("page_id", "text", F.length("text").alias("n_chars"), text.has_text_layer(F.col("text")).alias("has_text"))
 
 
-@query()
+@query(html_sql.HTML_BLOCKS)
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' text blocks, in order."""
-    return html.blocks(_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return markup.blocks(_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
 _ENTITY_CASES = ", ".join(f"'{k}': {v}" for k, v in text.ENTITIES.items())
