@@ -734,7 +734,7 @@ def recognition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("doc"), F.col("doc_id").alias("page"), "text")
     wanted = recognition_plans.needed(rows).select("doc", "page", F.col("text").cast("binary").alias("image"))
     cache = spark.createDataFrame([], "key string, payload string")
-    found, _ = recognition_plans.recognised(wanted, cache, lambda raw: f"read {len(raw.decode())}")
+    found, _ = recognition_plans.recognised(wanted, cache, recognition_plans.each(lambda raw: f"read {len(raw.decode())}"))
     return recognition_plans.texts(rows, found).select("doc", F.md5(F.col("text").cast("binary")).alias("text"))
 
 

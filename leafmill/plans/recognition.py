@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.operators import batches
+from leafmill.sources.tables import written
 
 Recogniser = Callable[[bytes], str]
 
@@ -24,14 +25,8 @@ def cache_key(image: Column, *settings: str) -> Column:
     return text.content_key(*(F.lit(s) for s in settings), image)
 
 
-def recognised(images: DataFrame, cache: DataFrame, recogniser: Recogniser, *, settings: tuple[str, ...] = ("v1",)) -> tuple[DataFrame, DataFrame]:
-    """(pages with ``recognised`` text, new cache rows) of images ``(doc, page, image)`` against a cache ``(key, payload)``.
-
-    Keys travel, not images: each missing content is recognised once, whichever pages
-    show it, and failures are cached by nobody.
-    """
-    keyed = images.withColumn("key", cache_key(F.col("image"), *settings))
-    missing = keyed.groupBy("key").agg(F.first("image").alias("image")).join(cache.select("key"), "key", "left_anti")
+def each(recogniser: Recogniser) -> Callable[[DataFrame], DataFrame]:
+    """``(key, payload, error)`` of rows ``(key, image)`` by a function of one image, tried once."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -44,7 +39,21 @@ def recognised(images: DataFrame, cache: DataFrame, recogniser: Recogniser, *, s
             keys, texts, errors = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["key", "payload", "error"])
 
-    made = missing.mapInArrow(run, "key string, payload string, error string")
+    return lambda missing: missing.mapInArrow(run, "key string, payload string, error string")
+
+
+def recognised(images: DataFrame, cache: DataFrame, recognise: Callable[[DataFrame], DataFrame], *, settings: tuple[str, ...] = ("v1",)) -> tuple[DataFrame, DataFrame]:
+    """(pages with ``recognised`` text, new cache rows) of images ``(doc, page, image)`` against a cache ``(key, payload)``.
+
+    ``recognise`` turns ``(key, image)`` into ``(key, payload, error)``: ``each`` of a
+    function, or a service behind a gate (``services.chat_recogniser``).  Keys travel, not
+    images: each missing content is recognised once, whichever pages show it, and
+    failures are cached by nobody.  Answers are written before both results read them,
+    so a service is asked once.
+    """
+    keyed = images.withColumn("key", cache_key(F.col("image"), *settings))
+    missing = keyed.groupBy("key").agg(F.first("image").alias("image")).join(cache.select("key"), "key", "left_anti")
+    made = written(recognise(missing).select("key", "payload", "error"), "recognised")
     known = cache.select("key", "payload", F.lit(None).cast("string").alias("error")).unionByName(made)
     pages = keyed.select("doc", "page", "key").join(known, "key", "left").select("doc", "page", F.col("payload").alias("recognised"), "error")
     return pages, made.where("error is null").select("key", "payload")

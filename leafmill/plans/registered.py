@@ -1,6 +1,6 @@
 """All registered document queries and their SQL; importing a module of queries registers them."""
 
-from leafmill.plans import queries, structures
+from leafmill.plans import queries, requests, structures
 
-MODULES = (queries, structures)
+MODULES = (queries, requests, structures)
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE_SQL

@@ -30,7 +30,7 @@ def test_each_content_is_recognised_once_and_failures_are_rows(spark):
             raise OSError("no")
         return raw.decode().upper()
 
-    pages, new = recognition.recognised(images, cache, recogniser)
+    pages, new = recognition.recognised(images, cache, recognition.each(recogniser))
     got = {(r.doc, r.page): (r.recognised, r.error) for r in pages.collect()}
     assert got == {(1, 1): ("X", None), (1, 2): ("X", None), (2, 1): (None, "OSError: no"), (2, 2): ("cached", None)}
     assert calls.value == 2 and [r.payload for r in new.collect()] == ["X"]
