@@ -49,9 +49,9 @@ def _without(rows: DataFrame, others: DataFrame, place: list[str]) -> DataFrame:
     return rows.alias("a").join(others.alias("b"), same, "left_anti")
 
 
-def numbered(rows: DataFrame, order: Column, name: str = "number") -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """Rows with their place (from 1) in their ``doc``, by an order that tells all of a document's rows apart."""
-    placed = written(ranked(rows, [F.col("doc"), order], "__place"), "graph-places")
+    placed = written(ranked(rows, [F.col("doc"), *order], "__place"), "graph-places")
     first = placed.groupBy("doc").agg(F.min("__place").alias("__first"))
     return placed.join(first, "doc").withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
 
@@ -64,7 +64,7 @@ def pruned(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[Data
     objects point at new numbers; those to objects that are unknown point at null.
     """
     kept = reachable(edges, roots).join(objects.select("doc", "object").distinct(), ["doc", "object"], "left_semi")
-    kept = written(numbered(kept, F.col("object")), "graph-kept").select("doc", "object", "number")
+    kept = written(numbered(kept, [F.col("object")]), "graph-kept").select("doc", "object", "number")
     targets = kept.select("doc", F.col("object").alias("ref"), F.col("number").alias("target"))
     references = edges.select("doc", "object", "place", "ref").join(kept, ["doc", "object"]).join(targets, ["doc", "ref"], "left")
     return kept, references.select("doc", "number", "place", "target")

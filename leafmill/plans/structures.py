@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import graphs
 from leafmill.plans.queries import _table, query
+from leafmill.sources import inputs
 
 OBJECTS = """
 sheets AS (SELECT o_custkey AS doc, CAST(o_orderkey AS BIGINT) * 64 AS object, o_orderstatus AS status, o_orderpriority AS priority,
@@ -108,3 +109,35 @@ SELECT t.doc, t.node, d."full", CAST(d.depth AS INT) AS depth FROM tree t LEFT J
 def full_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of nodes with those of their ancestors, and their levels."""
     return graphs.full_names(_tree(spark, sf_dir))
+
+
+FOUND = "found AS (SELECT DISTINCT '/data/' || source || '/' || CASE WHEN doc_id % 9 = 0 THEN '~$' ELSE '' END || 'scan ' || (doc_id % 50) || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.xyz' WHEN 2 THEN '' ELSE '.jpg' END AS path FROM documents)"
+
+
+@query(f"""WITH {FOUND},
+places AS (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS arg FROM documents),
+known AS (SELECT path, regexp_extract(path, '^(.*)/', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM found WHERE (path LIKE '%.PDF' OR path LIKE '%.jpg') AND path NOT LIKE '%/~$%'),
+hits AS (
+  SELECT arg, 0 AS line, path, NULL AS pages FROM places JOIN known ON arg % 5 = 0 AND dir = '/data/' || source
+  UNION ALL SELECT arg, 1, path, '2-3' FROM places JOIN known ON arg % 5 = 1 AND dir = '/data/' || source AND regexp_matches(name, '^scan 1[^/]*\\.PDF$')
+  UNION ALL SELECT arg, 2, path, 'odd' FROM places JOIN known ON arg % 5 = 2 AND regexp_matches(path, '^/data/[^/]*/scan [78]\\.jpg$')
+  UNION ALL SELECT arg, 3, '/data/' || source || '/none.pdf', '1' FROM places WHERE arg % 5 = 3
+  UNION ALL SELECT arg, 4, path, 'odd' FROM places JOIN known ON arg % 5 = 4 AND dir = '/data/' || source AND regexp_matches(name, '^scan .\\.jpg$'))
+SELECT arg, row_number() OVER (PARTITION BY arg ORDER BY line, CAST(regexp_extract(path, 'src([0-9]+)', 1) AS INT), CAST(coalesce(nullif(regexp_extract(path, 'scan ([0-9]+)', 1), ''), '0') AS INT), lower(path)) AS seq, path, pages FROM hits""")
+def expanded_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders, globs, plain names and relative entries of lists against the files that are there."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    ending = F.element_at(F.array(F.lit(".PDF"), F.lit(".xyz"), F.lit(""), F.lit(".jpg")), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/data/"), "source", F.when(F.col("doc_id") % 9 == 0, "/~$scan ").otherwise("/scan "), (F.col("doc_id") % 50).cast("string"), ending)
+    arg = F.substring("source", 4, 9).cast("int")
+    folder = F.concat(F.lit("/data/"), "source")
+    kinds = [
+        (F.concat(folder, F.lit("/")), F.lit(""), None),
+        (F.concat(folder, F.lit("/scan 1*.PDF:2-3")), F.lit(""), None),
+        (F.lit("/data/*/scan [78].jp?"), F.lit(""), "odd"),
+        (F.lit("none.pdf:1"), folder, "odd"),
+        (F.lit("scan ?.jpg"), folder, "odd"),
+    ]
+    rows = [F.struct(F.lit(n).cast("bigint").alias("line"), entry.alias("entry"), base.alias("base"), F.lit(pages).cast("string").alias("pages")) for n, (entry, base, pages) in enumerate(kinds)]
+    entries = docs.select("source", arg.alias("arg")).distinct().select("arg", F.element_at(F.array(*rows), F.col("arg") % 5 + 1).alias("e")).select("arg", "e.*")
+    return inputs.expanded(entries, docs.select(path.alias("path")))

@@ -1,8 +1,7 @@
-"""Files as DataFrames: input lists, and the text of any readable document with an error column."""
+"""Files as DataFrames: lists and folders of inputs, and the text of any readable document with an error column."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,61 +73,3 @@ def read_texts(files: DataFrame, path: str = "path", content: str = "content") -
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "format", "text", "error"])
 
     return rows.mapInArrow(run, "path string, format string, text string, error string")
-
-
-def expand(spark: SparkSession, arguments: list[str], command: str = "merge") -> DataFrame:
-    """``(arg, seq, path, pages)`` of a command's arguments: folders and globs in natural order, ``@lists``, plain paths.
-
-    Order is that of the arguments, then of a list's lines, then natural order in a
-    folder.  A page range of an entry goes before that of its list.  Nothing found is
-    an error.
-    """
-    from pyspark.sql import Window
-
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-
-    def is_folder(path: str) -> bool:
-        place = hadoop.Path(path)
-        system = place.getFileSystem(conf)
-        return system.exists(place) and system.getFileStatus(place).isDirectory()
-
-    entries: list[tuple[int, int, str, str | None]] = []
-    for number, argument in enumerate(arguments):
-        listed = argument.removeprefix("@")
-        row = spark.range(1).select(*(c.alias(n) for c, n in zip(names.split_page_range(F.lit(listed)), ("path", "pages")))).first()
-        if listed == argument:
-            entries.append((number, 0, row.path, row.pages))
-            continue
-        folder = row.path.rpartition("/")[0]
-        for spec in input_specs(manifest_entries(spark, row.path), F.lit(row.pages)).orderBy("line").toLocalIterator():
-            own = spec.path if "://" in spec.path or spec.path.startswith("/") or not folder else f"{folder}/{spec.path}"
-            entries.append((number, spec.line, own, spec.pages))
-    found = []
-    for number, line, path, pages in entries:
-        if is_folder(path) or "*" in path or "?" in path:
-            files = spark.read.format("binaryFile").load(_literal(path if is_folder(path) else path.rpartition("/")[0] or "."))
-            files = files.select("path") if is_folder(path) else files.where(names.file_name(F.col("path")).rlike(_glob(path.rpartition("/")[2]))).select("path")
-            known = names.with_format(files.where(~names.is_lock_file(F.col("path")))).where("format is not null")
-            known = known.where(F.col("format").isin(*names.ADMITTED[command])) if command in names.ADMITTED else known
-            found.append(known.select(F.lit(number).alias("arg"), F.lit(line).alias("line"), names.natural_key(F.col("path")).alias("key"), "path", F.lit(pages).cast("string").alias("pages")))
-        else:
-            found.append(spark.createDataFrame([(number, line, "", path, pages)], "arg int, line int, key string, path string, pages string"))
-    if not found:
-        raise ValueError("no input files found")
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    if whole.isEmpty():
-        raise ValueError("no input files found")
-    seq = F.row_number().over(Window.partitionBy("arg").orderBy("line", "key", "path"))
-    return whole.withColumn("seq", seq).select("arg", "seq", "path", "pages")
-
-
-def _literal(folder: str) -> str:
-    """A folder's name with nothing in it taken for a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", folder)
-
-
-def _glob(pattern: str) -> str:
-    """A regular expression for ``*`` and ``?`` in a file name."""
-    return "^" + "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in pattern) + "$"
