@@ -23,13 +23,14 @@ def found(spark, folder, *arguments, command="ocr"):
 
 
 def test_folders_globs_lists_and_names_in_order(spark, folder):
-    (folder / "list.txt").write_text("﻿ sub/c.PDF \n\n# note\nx [1]/*.jpg\nother.pdf:3\na?.jpg\n", encoding="utf-8")
-    assert found(spark, folder, "%/b.pdf:1-2", "%/", "@%/list.txt", "%/*.jpg", "%/gone.jpg") == [
+    (folder / "list.txt").write_text("﻿ sub/c.PDF \n\n# note\nother.pdf:3\na?.jpg\n", encoding="utf-8")
+    (folder / "x [1]" / "own.txt").write_text("*.jpg\n")  # a list's folder is no pattern
+    assert found(spark, folder, "%/b.pdf:1-2", "%/", "@%/list.txt", "%/*.jpg", "%/gone.jpg", "@%/x [1]/own.txt") == [
         (0, 1, "b.pdf", "1-2"),
         (1, 1, "a2.jpg", None), (1, 2, "a10.jpg", None), (1, 3, "b.pdf", None),
-        (2, 1, "sub/c.PDF", None), (2, 2, "x [1]/e.jpg", None), (2, 3, "other.pdf", "3"), (2, 4, "a2.jpg", None),
+        (2, 1, "sub/c.PDF", None), (2, 2, "other.pdf", "3"), (2, 3, "a2.jpg", None),
         (3, 1, "a2.jpg", None), (3, 2, "a10.jpg", None),
-        (4, 1, "gone.jpg", None),
+        (4, 1, "gone.jpg", None), (5, 1, "x [1]/e.jpg", None),
     ]
 
 
