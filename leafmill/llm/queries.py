@@ -89,18 +89,12 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's URL.
-
-    What is known of URLs teaches: the verdicts of listed rules, and the labels of the
-    document whose number ends the path (of quality 0 or toxic: bad).
-    """
+    """Verdict on every page's URL; the labels of the document whose number ends the path teach (of quality 0 or toxic: bad)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and (quality is not null or toxic is not null)")
     bad = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     number = F.regexp_extract(url_rules.path(F.col("url")), "([0-9]+)[^0-9]*$", 1).try_cast("bigint")
     labelled = pages.select("url", number.alias("doc_id")).join(_store.written(bad, "url-labels"), "doc_id").select("url", "bad")
-    _, verdict = url_rules.listed_rule(URL_RULES, url_rules.host(F.col("url")), url_rules.path(F.col("url")))
-    labelled = labelled.unionByName(pages.select("url", (verdict == "block").alias("bad")).where("bad is not null"))
     return url_rules.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -212,4 +206,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_secrets": op12_secrets,
     "op13_merkle": op13_merkle,
 }
-ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op12_secrets": sql.secrets(), "op13_merkle": sql.merkle()}
+ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_url_rules": sql.url_rules(URL_RULES), "op12_secrets": sql.secrets(), "op13_merkle": sql.merkle()}

@@ -94,3 +94,41 @@ rows_0 AS (SELECT r.*, 0 AS whole, s.i AS lang_i, s.n AS lang_n, s.node AS subro
 SELECT doc_id, leaf, subroot, t.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.node AS verified
 FROM high_proof_{TOP_LEVELS - 1} CROSS JOIN high_top t
 """
+
+
+def url_rules(listed: list[tuple[str, str]], min_confidence: float = 0.6, min_rows: int = 8, error: float = 0.01, widest: int = 8) -> str:
+    """Listed rules, and all combinations of up to ``widest`` tokens of each bad URL, one by one."""
+    longest = sorted(listed, key=lambda r: -len(r[1]))
+    fits = [(v, r, f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')") for v, r in longest]
+    rule = "CASE " + " ".join(f"WHEN {test} THEN '{r}'" for _, r, test in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {test} THEN '{v}'" for v, _, test in fits) + " END"
+    pattern = "(?s)^(.*?)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$"
+    part = lambda i: f"coalesce(regexp_extract(url, '{pattern}', {i}), '')"
+    each = lambda name, values, made: f"list_transform(list_filter({values}, lambda x: x <> ''), lambda x: '{name}:' || {made})"
+    segment = "regexp_replace(regexp_replace(lower(x), '\\.[a-z0-9]{1,5}$', ''), '^[0-9]+$', '#')"
+    kl = "(h / r) * ln((h / r) / share) + CASE WHEN h < r THEN (1 - h / r) * ln((1 - h / r) / (1 - share)) ELSE 0 END"
+    return f"""
+WITH cut AS (SELECT page_id, url, {part(1)} AS scheme, translate({part(2)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {part(3)} AS path, {part(4)} AS query, {part(5)} AS fragment FROM pages),
+split AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(list_filter(list_concat(
+      ['scheme:' || lower(scheme), 'host:' || host, 'fragment:' || fragment, 'ending:' || lower(regexp_extract(path, '\\.([A-Za-z0-9]{{1,5}})$', 1))],
+      {each("word", "regexp_split_to_array(host, '[.-]')", "x")}, {each("path", "string_split(path, '/')", segment)}, {each("query", "string_split(query, '&')", "lower(x)")}),
+      lambda x: NOT ends_with(x, ':')))) ELSE [] END AS items
+  FROM cut),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+known AS (SELECT s.page_id AS id, s.items, m.bad FROM split s JOIN marks m ON m.doc_id = try_cast(nullif(regexp_extract(s.path, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) WHERE len(s.items) > 0),
+totals AS (SELECT count(*) FILTER (bad) / count(*) AS share, count(*) FILTER (bad) AS n_bad, count(*) AS n FROM known),
+token_hits AS (SELECT token, count(*) AS freq FROM (SELECT unnest(items) AS token FROM known WHERE bad) GROUP BY token HAVING count(*) >= {min_rows}),
+needed AS (SELECT greatest({min_rows}, ceil(ln(greatest((SELECT count(*) FROM token_hits), 1) / {error}) / -ln(share))) AS least, share FROM totals WHERE n_bad > 0 AND n_bad < n),
+chosen AS (
+  SELECT id, list(token ORDER BY freq, token)[1:{widest}] AS tokens
+  FROM (SELECT id, unnest(items) AS token FROM known WHERE bad) JOIN token_hits USING (token) JOIN needed ON freq >= least GROUP BY id),
+masks AS (SELECT id, tokens, unnest(range(1, 1 << len(tokens))) AS mask FROM chosen),
+combos AS (SELECT list_sort(list_filter(tokens, lambda t, i: (mask >> CAST(i - 1 AS BIGINT)) & 1 = 1)) AS c FROM masks),
+itemsets AS (SELECT c FROM combos, needed GROUP BY c, least HAVING count(*) >= least),
+cover AS (SELECT c, count(*) AS r, count(*) FILTER (bad) AS h FROM itemsets JOIN known ON list_has_all(items, c) GROUP BY c),
+mined AS (SELECT c FROM cover, needed WHERE h / r >= {min_confidence} AND h / r > share AND r * ({kl}) >= ln(greatest((SELECT count(*) FROM itemsets), 1) / {error})),
+blocked AS (SELECT DISTINCT page_id FROM split JOIN mined ON list_has_all(items, c)),
+judged AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict FROM cut)
+SELECT j.page_id, host, path, rule, coalesce(verdict, CASE WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN blocked b ON b.page_id = j.page_id
+"""
