@@ -10,12 +10,17 @@ scored by models that leave out its own n-grams, so a target text does not know
 ``lm_score`` is the mean over its words of the target's loss less the background's: the
 lower, the more it is like the target.
 
-Counting and lookup are one exchange each.  Texts are written once, in blocks of about
-``BLOCK`` bytes, and read from those files by block; only keys and sides of documents
-are joined.  A block asks for each of its distinct 1- to 3-grams once; the requests
-are dealt into buckets by hash, a bucket sums them up and sends each block its counts
-back, in the order asked, with which its texts are scored.  What is gathered grows with the corpus and stays partitioned; rows
-hold packed arrays; only four totals come to the driver.  Keys of n-grams have 16 bits
+Texts are written once, in blocks of about ``BLOCK`` bytes, and read from those files by
+block; only keys and sides of documents are joined.  A block asks for each of its
+distinct 1- to 3-grams once; the requests are dealt into buckets by ranges of their keys,
+a bucket sums them up and sends each block its counts back, in the order asked, with
+which its texts are scored.  No more than about ``FAN`` askers meet in a bucket: of more
+blocks, groups are merged bucket by bucket and ask as one in finer buckets, level by level
+(as in a radix sort), and what they are told is handed down to their members.  So a row
+holds some thousand n-grams at any size, rows grow with the corpus times the number of
+levels (one up to 2 GB, two up to 2 TB), and a word that all texts have costs a bucket a
+number an asker.  What is gathered stays partitioned; rows hold packed arrays; only totals
+come to the driver.  Keys of n-grams have 16 bits
 more than the number of words in the corpus (40 to 60), so one in some 20,000 shares
 its key with another at any size.
 
@@ -26,7 +31,7 @@ copies; a column named like an added one is replaced; capitals count as small le
 
 from __future__ import annotations
 
-import re
+import math
 import struct
 from collections.abc import Iterator
 
@@ -45,6 +50,7 @@ from leafmill.llm import _store, _text
 
 BITS = 24
 BLOCK = 2 << 20
+FAN, SPLIT = 1024, 512
 _BUCKET_GRAMS = 2_000_000
 _TASK_BYTES = 16 << 20
 U64 = np.uint64
@@ -150,7 +156,7 @@ def losses(place: np.ndarray, counts: np.ndarray, pointers: np.ndarray, member:
     return -np.log(p)
 
 
-def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", mu: float = 4.0) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", mu: float = 4.0, fan: int = FAN, split: int = SPLIT) -> DataFrame:
     """``docs``, less the text, with ``n_tokens``, mean losses and ``lm_score``.
 
     Texts whose ``key`` is among that of ``targets`` (nulls are not) are the target
@@ -159,70 +165,107 @@ def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str
     spark = docs.sparkSession
     table = _store.written(blocks(docs, text), "lm-texts", compression="zstd", **{"parquet.block.size": BLOCK})
     marks = targets.select(F.col(f"`{key}`").alias("__key"), F.lit(True).alias("target")).where("__key is not null").distinct()
-    own = table.select("__block", "__row", "__n", F.col(f"`{key}`").alias("__key"))
+    own = table.select("__block", "__row", "__n", F.col("_metadata.file_path").alias("__file"), F.col(f"`{key}`").alias("__key"))
     sides = own.join(_store.written(marks, "lm-targets").hint("merge"), "__key", "left")  # one plan at every size
-    sides = _store.written(sides.select("__block", "__row", "__n", F.coalesce("target", F.lit(False)).alias("target")), "lm-sides")
+    sides = _store.written(sides.select("__block", "__row", "__n", "__file", F.coalesce("target", F.lit(False)).alias("target")), "lm-sides")
     n, has = F.col("__n"), (F.col("__n") > 0).cast("int")
-    sums = sides.agg(*[F.coalesce(F.sum(F.when(side, x)), F.lit(0)).alias(f"{a}{b}") for a, x in (("w", n), ("t", has)) for b, side in ((0, F.col("target")), (1, ~F.col("target")))]).first()
+    sums = sides.agg(F.count_if(F.col("__row") == 0).alias("blocks"), *[F.coalesce(F.sum(F.when(side, x)), F.lit(0)).alias(f"{a}{b}") for a, x in (("w", n), ("t", has)) for b, side in ((0, F.col("target")), (1, ~F.col("target")))]).first()
     words_in, texts_in = (sums.w0, sums.w1), (sums.t0, sums.t1)
     least = min(words_in)
     weights = tuple(least / w if least else 1.0 for w in words_in)
     bits = min(60, max(40, sum(words_in).bit_length() + 16))
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least_parts, 3 * sum(words_in) // _BUCKET_GRAMS)
+    buckets = max(least_parts, 3 * sum(words_in) // _BUCKET_GRAMS) if sums.blocks <= fan else split
     parts = max(least_parts, 12 * sum(words_in) // _TASK_BYTES)
-    files = {int(re.search(r"part-(\d+)", f.rpartition("/")[2])[1]): f for f in table.inputFiles()}
-    paths = spark.sparkContext.broadcast(files)  # a path for each task that wrote
     kept = [f for f in table.schema.fields if not f.name.startswith("__")]
     names = [f.name for f in kept]
 
-    def texts_of(block: int, columns: list[str]) -> pa.Table:
-        fs, path = _store.filesystem(paths.value[block >> 32])
-        with fs.open_input_file(path) as source:
-            file = pq.ParquetFile(source)
-            at = file.schema_arrow.names.index("__block")
-            spans = [file.metadata.row_group(i).column(at).statistics for i in range(file.num_row_groups)]
-            found = file.read_row_groups([i for i, s in enumerate(spans) if s is None or s.min <= block <= s.max], columns=[*columns, "__block", "__row", "__text"])
-        return found.filter(pc.equal(found.column("__block"), block)).sort_by("__row").combine_chunks()
+    def texts_of(paths: list[str], block: int, columns: list[str]) -> pa.Table:
+        """The block's rows in order, from the files that hold some."""
+        found = []
+        for path in paths:
+            fs, path = _store.filesystem(path)
+            with fs.open_input_file(path) as source:
+                file = pq.ParquetFile(source)
+                at = file.schema_arrow.names.index("__block")
+                spans = [file.metadata.row_group(i).column(at).statistics for i in range(file.num_row_groups)]
+                rows = file.read_row_groups([i for i, s in enumerate(spans) if s is None or s.min <= block <= s.max], columns=[*columns, "__block", "__row", "__text"])
+            found.append(rows.filter(pc.equal(rows.column("__block"), block)))
+        return pa.concat_tables(found).sort_by("__row").combine_chunks()
+
+    def requests(asker: int, own: np.ndarray, counts: list[np.ndarray], buckets: int, once: dict[str, str | bytes]) -> pa.Table:
+        """A row for each bucket that ascending keys fall into; ``once`` goes with the first."""
+        dealt = bucket_of(own, bits, buckets)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(dealt)) + 1, [len(own)]]).tolist() if len(own) else [0, 0]
+        cuts = list(zip(edges[:-1], edges[1:]))
+        told = [[packed_bits(np.diff(own[a:b], prepend=own[a : a + 1])) for a, b in cuts], *([squeezed(x[a:b]) for a, b in cuts] for x in counts)]
+        heads = [(int(dealt[a]), int(own[a])) if a < b else (0, 0) for a, b in cuts]
+        first = [pa.array([once.get(c), *[None] * (len(cuts) - 1)], t) for c, t in (("sides", pa.binary()), ("paths", pa.string()))]
+        made = [pa.array(np.full(len(cuts), asker), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*heads)), *first, *(pa.array(x, pa.binary()) for x in told)]
+        return pa.Table.from_arrays(made, names=["asker", "bucket", "head", "sides", "paths", "grams", "n_target", "n"])
 
     def ask(rows: pa.Table) -> pa.Table:
-        block = rows.column("__block")[0].as_py()
+        block, paths = rows.column("__block")[0].as_py(), sorted(rows.column("__file").unique().to_pylist())
         target = rows.sort_by("__row").column("target").to_numpy().astype(bool)
-        keys, pointers = gram_keys(texts_of(block, []).column("__text").combine_chunks(), bits)
+        keys, pointers = gram_keys(texts_of(paths, block, []).column("__text").combine_chunks(), bits)
         own, where, n_all = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
         n_target = np.bincount(where, weights=np.tile(np.repeat(target, np.diff(pointers)), 3), minlength=len(own)).astype(np.uint64)
-        dealt = bucket_of(own, bits, buckets)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(dealt)) + 1, [len(own)]]).tolist() if len(own) else [0, 0]
-        cuts = list(zip(edges[:-1], edges[1:]))
-        told = [[packed_bits(np.diff(own[a:b], prepend=own[a : a + 1])) for a, b in cuts], *([squeezed(x[a:b]) for a, b in cuts] for x in (n_target, n_all.astype(np.uint64)))]
-        heads = [(int(dealt[a]), int(own[a])) if a < b else (0, 0) for a, b in cuts]
-        sides = [np.packbits(target).tobytes(), *[None] * (len(cuts) - 1)]  # once for each block
-        made = [pa.array(np.full(len(cuts), block), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*heads)), pa.array(sides, pa.binary()), *(pa.array(x, pa.binary()) for x in told)]
-        return pa.Table.from_arrays(made, names=["block", "bucket", "head", "sides", "grams", "n_target", "n"])
+        once = {"sides": np.packbits(target).tobytes(), "paths": "\n".join(paths)}  # once for each block
+        return requests(block, own, [n_target, n_all.astype(np.uint64)], buckets, once)
+
+    def united(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys of all requests, where each request's are among them, the requests' ends)"""
+        each = [np.cumsum(unpacked_bits(x), dtype=np.uint64) + U64(h) for x, h in zip(asked.column("grams").to_pylist(), asked.column("head").to_pylist())]
+        return *np.unique(np.concatenate(each), return_inverse=True), np.cumsum([len(x) for x in each])[:-1]
+
+    def summed(asked: pa.Table, own: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(where, weights=np.concatenate([unsqueezed(x) for x in asked.column(c).to_pylist()]), minlength=len(own)).astype(np.uint64) for c in ("n_target", "n")]
+
+    def told(asked: pa.Table, sums: list[np.ndarray], where: np.ndarray, stops: np.ndarray) -> pa.Table:
+        made = [pa.array([squeezed(x) for x in np.split(total[where], stops)], pa.binary()) for total in sums]
+        return pa.Table.from_arrays([*(asked.column(c) for c in ("asker", "bucket", "sides", "paths")), *made], names=["asker", "bucket", "sides", "paths", "n_target", "n"])
 
     def answer(asked: pa.Table) -> pa.Table:
-        rows = {c: asked.column(c).to_pylist() for c in ("grams", "n_target", "n", "head")}
-        each = [np.cumsum(unpacked_bits(x), dtype=np.uint64) + U64(h) for x, h in zip(rows["grams"], rows["head"])]
-        own, where = np.unique(np.concatenate(each), return_inverse=True)
-        stops = np.cumsum([len(x) for x in each])[:-1]
-        made = []
-        for c in ("n_target", "n"):
-            sums = np.bincount(where, weights=np.concatenate([unsqueezed(x) for x in rows[c]]), minlength=len(own)).astype(np.uint64)
-            made.append(pa.array([squeezed(x) for x in np.split(sums[where], stops)], pa.binary()))
-        return pa.Table.from_arrays([*(asked.column(c) for c in ("block", "bucket", "sides")), *made], names=["block", "bucket", "sides", "n_target", "n"])
+        own, where, stops = united(asked)
+        return told(asked, summed(asked, own, where), where, stops)
+
+    asks = "asker long, bucket long, head long, sides binary, paths string, grams binary, n_target binary, n binary"
+    tells = "asker long, bucket long, sides binary, paths string, n_target binary, n binary"
+
+    def answers_to(asked: DataFrame, askers: int, buckets: int) -> DataFrame:
+        if askers <= fan:
+            return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, tells)
+        groups, finer = math.ceil(askers / fan), buckets * split
+
+        def merge(members: pa.Table) -> pa.Table:
+            own, where, _ = united(members)
+            asker = members.column("bucket")[0].as_py() * groups + members.column("grp")[0].as_py()
+            return requests(asker, own, summed(members, own, where), finer, {})
+
+        def hand_down(members: pa.Table, answers: pa.Table) -> pa.Table:
+            own, where, stops = united(members)
+            answers = answers.sort_by("bucket")
+            sums = [np.concatenate([unsqueezed(x) for x in answers.column(c).to_pylist()]) for c in ("n_target", "n")]
+            return told(members, sums, where, stops)
+
+        members = _store.written(asked.withColumn("grp", F.pmod(F.xxhash64("asker"), F.lit(groups))), "lm-asked")
+        merged = members.repartition(parts, "bucket", "grp").groupBy("bucket", "grp").applyInArrow(merge, asks)
+        found = answers_to(merged, groups, finer).withColumnRenamed("bucket", "finer")
+        found = found.select(F.floor(F.col("asker") / groups).alias("bucket"), F.pmod("asker", F.lit(groups)).alias("grp"), F.col("finer").alias("bucket2"), "n_target", "n")
+        return members.groupBy("bucket", "grp").cogroup(found.groupBy("bucket", "grp")).applyInArrow(lambda a, b: hand_down(a, b.select(["bucket2", "n_target", "n"]).rename_columns(["bucket", "n_target", "n"])), tells)
 
     schema = StructType(list(kept))
     for name, kind in ADDED.items():
         schema = schema.add(name, kind)
     arrow = to_arrow_schema(schema)
 
-    def scored(told: pa.Table) -> pa.Table:
-        told = told.sort_by("bucket")
-        whole = texts_of(told.column("block")[0].as_py(), names)
-        target = np.unpackbits(np.frombuffer(told.column("sides").drop_null()[0].as_py(), np.uint8), count=whole.num_rows).astype(bool)
+    def scored(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        whole = texts_of(rows.column("paths").drop_null()[0].as_py().split("\n"), rows.column("asker")[0].as_py(), names)
+        target = np.unpackbits(np.frombuffer(rows.column("sides").drop_null()[0].as_py(), np.uint8), count=whole.num_rows).astype(bool)
         keys, pointers = gram_keys(whole.column("__text").combine_chunks(), bits)
         place = np.unique(keys.ravel(), return_inverse=True)[1].reshape(3, -1)
-        n_target, n_all = (np.concatenate([unsqueezed(x) for x in told.column(c).to_pylist()]).astype(np.float64) for c in ("n_target", "n"))
+        n_target, n_all = (np.concatenate([unsqueezed(x) for x in rows.column(c).to_pylist()]).astype(np.float64) for c in ("n_target", "n"))
         n, means = np.diff(pointers), []
         for counts, member, words, texts, weight in zip((n_target, n_all - n_target), (target, ~target), words_in, texts_in, weights):
             each = losses(place, counts, pointers, member, words, texts, weight, mu)
@@ -231,6 +274,5 @@ def score(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str
         kinds = [arrow.field(x).type for x in names]
         return pa.Table.from_arrays([*(whole.column(x).cast(k, safe=False) for x, k in zip(names, kinds)), *(pa.array(x) for x in made)], schema=arrow)
 
-    asked = sides.repartition(parts, "__block").groupBy("__block").applyInArrow(ask, "block long, bucket long, head long, sides binary, grams binary, n_target binary, n binary")
-    answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "block long, bucket long, sides binary, n_target binary, n binary")
-    return answers.repartition(parts, "block").groupBy("block").applyInArrow(scored, schema)
+    asked = sides.repartition(parts, "__block").groupBy("__block").applyInArrow(ask, asks)
+    return answers_to(asked, sums.blocks, buckets).repartition(parts, "asker").groupBy("asker").applyInArrow(scored, schema)

@@ -33,17 +33,17 @@ def brute(texts, own, weight, mu=4.0):
     return out / len(own)
 
 
-def scored(docs):
+def scored(docs, **options):
     """Scores of rows ``(doc_id, text, target)``, given as documents and the keys of targets."""
-    return lm_scoring.score(docs.drop("target"), docs.where("target").select("doc_id"))
+    return lm_scoring.score(docs.drop("target"), docs.where("target").select("doc_id"), **options)
 
 
-@pytest.mark.parametrize("block", [1 << 22, 300])
-def test_losses_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, options", [(1 << 22, {}), (300, {}), (300, {"fan": 5, "split": 3}), (300, {"fan": 2, "split": 2})])
+def test_losses_equal_brute_force(spark, monkeypatch, block, options):
     monkeypatch.setattr(lm_scoring, "BLOCK", block)
     rows = [(i % 8, words(i % 11, 30, ENGLISH if i % 2 else GERMAN), bool(i % 2)) for i in range(25)] + [(20, None, True), (None, "", False), (21, "日本 Tokyo €", None), (22, words(70, 4000, ENGLISH), False)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, target boolean").repartition(3)
-    got = scored(docs).collect()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, target boolean").repartition(12 if options else 3)
+    got = scored(docs, **options).collect()
     texts = [tuple(WORD.findall((t or "").lower())) for _, t, _ in rows]
     sides = [[i for i, r in enumerate(rows) if bool(r[2]) == want] for want in (True, False)]
     sizes = [sum(len(texts[i]) for i in side) for side in sides]
@@ -78,3 +78,14 @@ def test_clashing_columns_one_sided_models_and_empty_tables(spark):
     assert row.asDict().keys() == {"id", "n_tokens", "loss_target", "loss_background", "lm_score"}
     assert (row.id, row.n_tokens) == ("x", 3) and row.lm_score == pytest.approx(0, abs=1e-9)
     assert lm_scoring.score(nothing(spark), nothing(spark)).count() == 0
+
+
+def test_texts_are_found_in_however_many_files_a_task_writes(spark):
+    docs = spark.createDataFrame([(i, words(i % 9, 60, ENGLISH), i % 3 == 0) for i in range(60)], "doc_id bigint, text string, target boolean").repartition(2)
+    told = lambda: [x for r in sorted(scored(docs).collect()) for x in r]
+    whole = told()
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        assert told() == pytest.approx(whole)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
