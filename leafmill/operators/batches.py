@@ -149,32 +149,3 @@ def checked_ranges(files: DataFrame) -> DataFrame:
     """Files ``(path, format, pages)`` with ``error``: page ranges are for PDF files alone."""
     wrong = F.col("pages").isNotNull() & ~F.col("format").eqNullSafe("pdf")
     return files.withColumn("error", F.when(wrong, F.concat(F.lit("page ranges are only valid for PDF inputs: "), "path")))
-
-
-def unique_paths(rows: DataFrame, path: str, order: str) -> DataFrame:
-    """``rows`` with ``file``: the path, or with ``_2``, ``_3``, ... at its stem where an earlier row took it.
-
-    A numbered name may itself be wanted by another row, so names are given in order,
-    one after another, within the paths that differ in such numbers alone.
-    """
-    import pyarrow as pa
-
-    stem = F.regexp_replace(path, r"(\.[^./]*)?$", "")
-    grouped = rows.withColumn("__stem", F.regexp_replace(stem, r"(_[0-9]+)+$", "")).withColumn("__ending", F.regexp_extract(path, r"(\.[^./]*)?$", 0))
-
-    def give(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        taken, out = set(), []
-        for wanted in table.column(path).to_pylist():
-            head, dot, tail = wanted.rpartition(".")
-            head, tail = (head, dot + tail) if dot and "/" not in tail else (wanted, "")
-            made, n = wanted, 2
-            while made in taken:
-                made, n = f"{head}_{n}{tail}", n + 1
-            taken.add(made)
-            out.append(made)
-        return table.drop(["__stem", "__ending"]).append_column("file", pa.array(out, pa.string()))
-
-    schema = rows.schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return grouped.groupBy("__stem", "__ending").applyInArrow(give, f"{kinds}, file string")

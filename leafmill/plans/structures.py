@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import graphs
+from leafmill.operators import graphs, naming
 from leafmill.plans.queries import _table, query
 from leafmill.sources import inputs
 
@@ -141,3 +141,27 @@ def expanded_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [F.struct(F.lit(n).cast("bigint").alias("line"), entry.alias("entry"), base.alias("base"), F.lit(pages).cast("string").alias("pages")) for n, (entry, base, pages) in enumerate(kinds)]
     entries = docs.select("source", arg.alias("arg")).distinct().select("arg", F.element_at(F.array(*rows), F.col("arg") % 5 + 1).alias("e")).select("arg", "e.*")
     return inputs.expanded(entries, docs.select(path.alias("path")))
+
+
+OUTPUTS = "outputs AS (SELECT doc_id AS nth, '/o/scan' || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 11 = 1 THEN '_2_' || (doc_id % 4) ELSE '_' || (doc_id % 17) END || CASE doc_id % 5 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '' ELSE '.pdf' END AS path FROM documents)"
+
+
+@query(f"""WITH RECURSIVE {OUTPUTS},
+cut AS (SELECT *, regexp_extract(path, '(\.[^./]*)$', 1) AS ending, row_number() OVER (PARTITION BY regexp_extract(path, '(\.[^./]*)$', 1) ORDER BY nth) AS n FROM outputs),
+split AS (SELECT *, left(path, length(path) - length(ending)) AS stem FROM cut),
+walk AS (
+  SELECT DISTINCT ending, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS nth, [CAST('/o/scan_3.pdf' AS VARCHAR)] AS taken, CAST(NULL AS VARCHAR) AS file FROM split
+  UNION ALL
+  SELECT ending, n, nth, list_append(taken, file), file FROM (
+    SELECT s.ending, s.n, s.nth, w.taken, CASE WHEN NOT list_contains(w.taken, s.path) THEN s.path ELSE
+      list_filter(list_transform(range(2, len(w.taken) + 3), lambda k: s.stem || '_' || k || s.ending), lambda p: NOT list_contains(w.taken, p))[1] END AS file
+    FROM walk w JOIN split s ON s.ending = w.ending AND s.n = w.n + 1))
+SELECT nth, file FROM walk WHERE nth IS NOT NULL""")
+def unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output paths made unique in order, where a third of the rows want one name and others want its numbered forms."""
+    n = F.col("doc_id")
+    name = F.when(n % 3 == 0, "").when(n % 11 == 1, F.concat(F.lit("_2_"), (n % 4).cast("string"))).otherwise(F.concat(F.lit("_"), (n % 17).cast("string")))
+    ending = F.element_at(F.array(*map(F.lit, (".tar.gz", "", ".pdf", ".pdf", ".pdf"))), (n % 5 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "documents").select(n.alias("nth"), F.concat(F.lit("/o/scan"), name, ending).alias("path"))
+    existing = spark.createDataFrame([("/o/scan_3.pdf",)], "path string")
+    return naming.unique_paths(rows, "path", "nth", existing).select("nth", "file")

@@ -56,18 +56,3 @@ def test_jpegs_turn_without_reencoding():
     plain, tagged = jpeg((0xE0, b"JFIF\0\1\1\1\0\x48\0\x48\0\0")), jpeg((0xE1, rasters.orientation_segment(6)[4:]))
     assert rasters.orientation(rasters.turned_jpeg(plain, 90)) == 6 and rasters.orientation(rasters.turned_jpeg(tagged, 90)) == 3
     assert len(rasters.turned_jpeg(tagged, 270)) == len(tagged) and rasters.orientation(rasters.turned_jpeg(tagged, -90)) == 1
-
-
-def test_unique_paths_where_numbered_names_are_wanted_too(spark):
-    wanted = ["a.md", "a_2.md", "a.md", "a.md", "b", "b", "x/a.md", "a_2.md"]
-    rows = spark.createDataFrame(list(enumerate(wanted)), "n int, path string")
-    taken, expected = set(), []
-    for path in wanted:
-        head, dot, tail = path.partition(".")
-        made, n = path, 2
-        while made in taken:
-            made, n = f"{head}_{n}{dot}{tail}", n + 1
-        taken.add(made)
-        expected.append(made)
-    got = [r.file for r in batches.unique_paths(rows, "path", "n").orderBy(F.col("n")).collect()]
-    assert got == expected
