@@ -1,80 +1,71 @@
-"""Corrections of recognised text, token by token."""
+"""Corrections of recognised text, token by token, as Column expressions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Cyrillic letters and the Latin ones drawn the same.
 CYRILLIC, LATIN = "АВЕКМНОРСТХаеорсух", "ABEKMHOPCTXaeopcyx"
 #: Letters read for digits.
 DIGIT_LOOKALIKES = {"О": "0", "о": "0", "O": "0", "o": "0", "З": "3", "з": "3", "Б": "6", "б": "6", "I": "1", "l": "1"}
 
-_TO_LATIN, _TO_CYRILLIC = str.maketrans(CYRILLIC, LATIN), str.maketrans(LATIN, CYRILLIC)
-_TO_DIGITS = str.maketrans(DIGIT_LOOKALIKES)
 _LIKE = "".join(DIGIT_LOOKALIKES)
-_NUMBER = re.compile(rf"[0-9{_LIKE}.,/\-:]+")
-_ZEROS = re.compile("[01]+")
+_SPACE, _SEPARATORS = r"\t-\r\x85\p{Z}", r".,/\-:"
 
 
-def fix_sign(token: str) -> str:
-    return re.sub(r"\AN(?:[Qg°º](?=[0-9]|\Z)|9(?=[0-9]{3}))", "№", token)
+def _pieces(token: Column, inside: str, change) -> Column:
+    """``token`` with its runs of characters ``inside`` changed, given what stands before and after them."""
+    parts = F.regexp_extract_all(token, F.lit(f"[{inside}]+|[^{inside}]+"), F.lit(0))
+    beside = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    return F.array_join(F.transform(parts, lambda part, i: F.when(part.rlike(f"^[{inside}]"), change(part, beside(i - 1), beside(i + 1))).otherwise(part)), "")
 
 
-def fix_digits(token: str) -> str:
-    """Look-alike letters inside numbers that no other letter touches."""
+def _count(text: Column, inside: str) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{inside}]", ""))
 
-    def one(m: re.Match) -> str:
-        core = m[0].strip(".,/-:")
-        if not core:
-            return m[0]
-        first = m.start() + m[0].index(core)
-        last = first + len(core)
-        digits = sum(c in "0123456789" for c in core)
-        letters = sum(c in DIGIT_LOOKALIKES for c in core)
-        touched = token[first - 1 : first].isalpha() or token[last : last + 1].isalpha()
-        good = letters and digits >= max(2, letters) and not touched
-        return token[m.start() : first] + core.translate(_TO_DIGITS) + token[last : m.end()] if good else m[0]
 
-    return _NUMBER.sub(one, token)
+def digits(token: Column) -> Column:
+    """Look-alike letters become digits in numbers: at least two digits, no fewer than look-alikes, and no other letter beside."""
 
+    def number(run: Column, before: Column, after: Column) -> Column:
+        head, tail = (F.regexp_extract(run, p, 0) for p in (f"^[{_SEPARATORS}]*", f"[{_SEPARATORS}]*$"))
+        core = F.regexp_replace(run, f"^[{_SEPARATORS}]+|[{_SEPARATORS}]+$", "")
+        numerals, letters = _count(core, "0-9"), _count(core, _LIKE)
+        touched = ((head == "") & before.rlike(r"\p{L}$")) | ((tail == "") & after.rlike(r"^\p{L}"))
+        good = (letters > 0) & (numerals >= 2) & (numerals >= letters) & ~touched
+        return F.when(good, F.concat(head, F.translate(core, _LIKE, "".join(DIGIT_LOOKALIKES.values())), tail)).otherwise(run)
 
-def fix_scripts(token: str) -> str:
-    """Letters of the rarer script, and zeros and ones between letters, by the script of the word."""
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in token)
-    latin = sum(c.isascii() and c.isalpha() for c in token)
-    russian = cyrillic > latin
-    if cyrillic and latin and cyrillic != latin:
-        token = token.translate(_TO_CYRILLIC if russian else _TO_LATIN)
-    if max(cyrillic, latin) < 3 or re.search("[2-9]", token):
-        return token
+    some = token.rlike("[0-9].*[0-9]") & token.rlike(f"[{_LIKE}]")
+    return F.when(some, _pieces(token, f"0-9{_LIKE}{_SEPARATORS}", number)).otherwise(token)
 
-    def one(m: re.Match) -> str:
-        before, after = token[m.start() - 1 : m.start()], token[m.end() : m.end() + 1]
-        if not (m.start() and before.isalpha() and after.isalpha()) or (russian and "1" in m[0]):
-            return m[0]
-        upper = before.isupper() and after.isupper()
-        zero = ("О" if upper else "о") if russian else ("O" if upper else "o")
-        return m[0].replace("0", zero).replace("1", "I" if upper else "l")
 
-    return _ZEROS.sub(one, token)
+def scripts(token: Column) -> Column:
+    """Look-alike letters of the rarer script become those of the other; zeros and ones between letters become letters of a word without other digits."""
+    cyrillic, latin = _count(token, "Ѐ-ӿ"), _count(token, "A-Za-z")
+    russian = cyrillic > latin
+    mixed = token.rlike("[Ѐ-ӿ]") & token.rlike("[A-Za-z]")
+    one = F.when(~mixed | (cyrillic == latin), token).when(russian, F.translate(token, LATIN, CYRILLIC)).otherwise(F.translate(token, CYRILLIC, LATIN))
 
+    def letters(run: Column, before: Column, after: Column) -> Column:
+        between = before.rlike(r"\p{L}$") & after.rlike(r"^\p{L}") & ~(russian & run.contains("1"))
+        upper = before.rlike(r"\p{Lu}$") & after.rlike(r"^\p{Lu}")
+        made = F.when(russian, F.when(upper, F.replace(run, F.lit("0"), F.lit("О"))).otherwise(F.replace(run, F.lit("0"), F.lit("о"))))
+        return F.when(between, made.otherwise(F.when(upper, F.translate(run, "01", "OI")).otherwise(F.translate(run, "01", "ol")))).otherwise(run)
 
-def correct(text: str) -> str:
-    return re.sub(r"\S+", lambda m: fix_scripts(fix_digits(fix_sign(m[0]))), text)
+    within = token.rlike(r"\p{L}[01]+\p{L}") & (F.greatest(cyrillic, latin) >= 3) & ~token.rlike("[2-9]")
+    return F.when(within, _pieces(one, "01", letters)).when(mixed, one).otherwise(token)
 
 
-@F.pandas_udf(StringType())
-def _corrected(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield part.map(correct, na_action="ignore")
+def sign(token: Column) -> Column:
+    """A misread number sign at the start of a token."""
+    return F.regexp_replace(token, r"^N(?:[Qg°º](?=[0-9]|$)|9(?=[0-9]{3}))", "№")
 
 
 def corrected(text: Column) -> Column:
-    """Recognised text with its common misreadings corrected; white space stays as it is."""
-    return _corrected(text)
+    """Recognised text with its common misreadings corrected; white space stays as it is, and a null is one."""
+    tokens = F.regexp_extract_all(text, F.lit(f"[{_SPACE}]+|[^{_SPACE}]+"), F.lit(0))
+    # one step a pass: an expression that is named twice in the next one would be worked out twice
+    for step in (sign, digits, scripts):
+        tokens = F.transform(tokens, step)
+    return F.array_join(tokens, "")

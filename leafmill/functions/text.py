@@ -93,22 +93,14 @@ def plausible_length(part: Column) -> Column:
 
 def plausibility(text: Column) -> Column:
     """``struct<plausible, total>``: characters in plausible words, and all but white space."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    trimmed = lambda p: F.regexp_replace(p, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    parts = F.transform(F.flatten(F.transform(words, lambda w: F.split(w, "-"))), trimmed)  # trimmed once, judged after
-    parts = F.filter(parts, lambda p: F.length(p) >= 3)
-    add = lambda a, x: a + x
+    # parts between white space and hyphens, from their first letter or digit to their last
+    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}](?:[^\t-\r\x85\p{Z}-]*[\p{L}\p{N}])?"), F.lit(0))
     return F.struct(
-        F.aggregate(F.transform(parts, plausible_length), F.lit(0), add).alias("plausible"),
-        F.aggregate(F.transform(words, F.length), F.lit(0), add).alias("total"),
+        F.aggregate(F.filter(parts, lambda p: F.length(p) >= 3), F.lit(0), lambda a, p: a + plausible_length(p)).alias("plausible"),
+        F.length(F.regexp_replace(text, r"[\t-\r\x85\p{Z}]+", "")).alias("total"),
     )
 
 
-def fix_number_sign(token: Column) -> Column:
-    """A misread number sign at the start of a token."""
-    return F.regexp_replace(F.regexp_replace(token, r"^N[Qg°º](?=[0-9]|$)", "№"), r"^N9(?=[0-9]{3})", "№")
-
-
 def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat(*(p.cast("binary") for p in parts)), 256)
 

@@ -49,9 +49,14 @@ def labelled_images(images: DataFrame, least_area: int = 0) -> DataFrame:
 
 def blank_sheets(pixels: DataFrame, difference: int = 50, share: float = 0.0025) -> DataFrame:
     """Whether nearly every pixel ``(doc, value)`` has the paper's tone, the lower median."""
-    paper = pixels.groupBy("doc").agg(F.expr("percentile_disc(0.5) within group (order by value)").cast("int").alias("paper"))
-    ink = F.avg((F.abs(F.col("value") - F.col("paper")) > difference).cast("int"))
-    return pixels.join(paper, "doc").groupBy("doc").agg(F.first("paper").alias("paper"), (ink <= share).alias("blank"))
+    levels = pixels.groupBy("doc", "value").agg(F.count("*").alias("n"))  # as many rows a sheet as there are tones
+    level = F.array_sort(F.collect_list(F.struct("value", "n")))
+    sheets = levels.groupBy("doc").agg(level.alias("levels"), F.sum("n").alias("all"))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(pixels.schema["value"].dataType).alias("tone"))
+    step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["tone"].isNull() & ((a["seen"] + x["n"]) * 2 >= F.col("all")), x["value"]).otherwise(a["tone"]).alias("tone"))
+    sheets = sheets.withColumn("paper", F.aggregate("levels", start, step)["tone"].cast("int"))
+    ink = F.aggregate("levels", F.lit(0).cast("bigint"), lambda a, x: a + F.when(F.abs(x["value"] - F.col("paper")) > difference, x["n"]).otherwise(0))
+    return sheets.select("doc", "paper", (ink / F.col("all") <= share).alias("blank"))
 
 
 def contrast_range(pixels: DataFrame, spread: int = 32) -> DataFrame:
