@@ -405,12 +405,12 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, trees: int,
     """Signed rows ``(key, h1, h2, sig)``, and for each class of equal words ``(h1, h2)`` its linked group, least key, links, copies and ``class_id``."""
     signed = _store.written(sign(docs, key, text, trees, max_depth), "signatures")
     grouped = signed.where("sig is not null and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = _store.written(grouped.withColumn("node", F.col("h1")), "representatives")
+    reps = _store.written(grouped.withColumn("node", F.monotonically_increasing_id()), "representatives")  # numbers that are fixed once written
     edges = candidate_edges(reps, trees=trees, max_depth=max_depth, shortest=shortest, threshold=threshold, target_recall=target_recall, crowded=crowded, block=block)
     groups = connected(edges).withColumnRenamed("root", "group")
-    members = _store.written(groups.join(reps.select("node", "least", "copies", "n_shingles"), "node"), "members")
+    members = _store.written(groups.join(reps.select("node", "h1", "h2", "least", "copies", "n_shingles"), "node"), "members")
     sizes = _store.written(members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).alias("blocks")), "sizes")
-    sized = members.join(sizes, "group").select("group", "node", "least", "copies", "blocks").withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")))
+    sized = members.join(sizes, "group").select("group", "node", "h1", "h2", "least", "copies", "blocks").withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")))
     sized = _store.written(sized, "sized")
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("least"), F.col(f"`{text}`").cast("string").alias("text")).join(sized.hint("merge"), "least")
 
@@ -420,7 +420,8 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, trees: int,
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 words = _text.Words(part.column("text"))
-                own = np.flatnonzero(_sequence_hashes(words)[:, 0] == part.column("node").to_numpy())  # not another text of this key
+                hashes = _sequence_hashes(words)
+                own = np.flatnonzero((hashes[:, 0] == part.column("h1").to_numpy()) & (hashes[:, 1] == part.column("h2").to_numpy()))  # not another text of this key
                 codes, pointers = shingle_hashes(words)
                 made = [np.unique(codes[pointers[i] : pointers[i + 1]]).tobytes() for i in own.tolist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(own)) for c in kept), pa.array(made, pa.binary())], names=[*kept, "set"])
@@ -430,21 +431,28 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, trees: int,
     counts = verified.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = _store.written(connected(verified.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(reps.select("node", "least"), "node"), "linked")
     least = roots.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = roots.join(_store.written(least, "class-ids"), "root").select("node", "root", "class_id")
+    least = _store.written(least, "class-ids")
+    named = roots.join(least, "root").select("node", "root", "class_id")
     classes = reps.select("h1", "h2", "node", "least", "copies").join(counts, "node", "left").join(named, "node", "left")
     classes = classes.select("h1", "h2", F.coalesce("root", "node").alias("group"), F.coalesce("class_id", "least").alias("class_id"), "least", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"))
-    return signed, _store.written(classes, "classes")
+    classes = _store.written(classes, "classes")
+    _store.drop(reps, members, sizes, sized, verified, roots, least)
+    return signed, classes
 
 
 def linked(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, trees: int = 16, max_depth: int = 6, shortest: int = 3, target_recall: float = 0.999, crowded: int = 64, block: int = _BLOCK
 ) -> DataFrame:
     """One row per row of ``docs``: key, ``class_id`` (least key of its linked group), ``n_links`` (other documents
-    at or above the threshold), ``n_text_links`` (other texts), ``n_copies`` (documents with the same words)."""
+    at or above the threshold), ``n_text_links`` (other texts), ``n_copies`` (documents with the same words).
+
+    The key column comes out as ``key`` if it is called like an added one.
+    """
     signed, classes = _classes(docs, key, text, threshold, trees, max_depth, shortest, target_recall, crowded, block)
     found = signed.select("key", F.when(F.col("sig").isNotNull() & F.col("key").isNotNull(), F.col("h1")).alias("h1"), "h2").join(classes.drop("least", "group"), ["h1", "h2"], "left")
     zero = lambda c, other: F.coalesce(F.col(c), F.lit(other).cast("bigint")).alias(c)
-    return found.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), zero("n_links", 0), zero("n_text_links", 0), zero("n_copies", 1))
+    name = "key" if key in ("class_id", "n_links", "n_text_links", "n_copies") else key
+    return found.select(F.col("key").alias(name), F.coalesce("class_id", "key").alias("class_id"), zero("n_links", 0), zero("n_text_links", 0), zero("n_copies", 1))
 
 
 def one_of_each(
@@ -458,15 +466,17 @@ def one_of_each(
     own = classes.where("least = class_id")
     own = own.join(own.groupBy("group").agg(F.min(F.struct("h1", "h2")).alias("one")), "group").where("h1 = one.h1 and h2 = one.h2")
     rows = signed.where("key is not null and sig is not null").join(own.select("h1", "h2", F.col("least").alias("key")), ["h1", "h2", "key"])
-    kept = _store.written(rows.groupBy("key", "h1").agg(F.count("*").alias("n")).select(F.col("key").alias("__key"), F.col("h1").alias("__h1"), F.col("n").alias("__n")), "kept-rows")
+    kept = rows.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"))
+    kept = _store.written(kept.select(F.col("key").alias("__key"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("n").alias("__n")), "kept-rows")
 
     def made(texts: pa.Array) -> list[pa.Array]:
         words = _text.Words(texts)
-        return [pa.array(_sequence_hashes(words)[:, 0]), pa.array(np.diff(words.first) > 0)]
+        hashes = _sequence_hashes(words)
+        return [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.diff(words.first) > 0)]
 
-    hashed = _text.appended(docs, made, {"__hash": "long", "__words": "boolean"}, text)
+    hashed = _text.appended(docs, made, {"__hash": "long", "__other_hash": "long", "__words": "boolean"}, text)
     known = F.col("__words") & F.col(f"`{key}`").cast("bigint").isNotNull()
-    marked = hashed.join(kept, known & (F.col(f"`{key}`").cast("bigint") == F.col("__key")) & (F.col("__hash") == F.col("__h1")), "left")
+    marked = hashed.join(kept, known & (F.col(f"`{key}`").cast("bigint") == F.col("__key")) & (F.col("__hash") == F.col("__h1")) & (F.col("__other_hash") == F.col("__h2")), "left")
     single = marked.where(~known | (F.col("__n") == 1))
-    repeated = marked.where(known & (F.col("__n") > 1)).dropDuplicates(["__key", "__h1"])
+    repeated = marked.where(known & (F.col("__n") > 1)).dropDuplicates(["__key", "__h1", "__h2"])
     return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -115,8 +115,8 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(places), pa.int32()), pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), *batch.columns], names=["part", "number", "place", *batch.schema.names])
 
 
-def _placed(leaves: DataFrame) -> DataFrame:
-    """``leaves`` with ``grp`` (the rank of its group) and ``pos`` (its place there)."""
+def _placed(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``leaves`` with ``grp`` (the rank of its group) and ``pos`` (its place there), and the table that these are read from."""
     spark = leaves.sparkSession
     # equal rows are dealt to several parts by their number, which a repeated task gives again
     ranged = leaves.withColumn("nth", F.monotonically_increasing_id())
@@ -141,7 +141,7 @@ def _placed(leaves: DataFrame) -> DataFrame:
     edges = F.broadcast(spark.createDataFrame(offsets, "part int, first_rank bigint, first_place bigint"))
     placed = numbered.join(edges, "part")
     grp, pos = F.col("first_rank") + F.col("number"), F.col("place") + F.when(F.col("number") == 0, F.col("first_place")).otherwise(0)
-    return placed.select(grp.alias("grp"), pos.alias("pos"), "key", F.col("leaf").alias("node"), "claimed")
+    return placed.select(grp.alias("grp"), pos.alias("pos"), "key", F.col("leaf").alias("node"), "claimed"), numbered
 
 
 def _blocks(nodes: DataFrame, height: int, name: str) -> DataFrame:
@@ -220,7 +220,10 @@ def prove(docs: DataFrame, *, key: str = "doc_id", group: str = "lang", columns:
     own = {c: F.col(f"`{c}`") for c in columns}
     true, told = leaf(list(own.values())), leaf([(claimed or {}).get(c, own[c]) for c in columns])
     leaves = _store.written(docs.select(F.col(f"`{group}`").alias("sort_group"), F.col(f"`{key}`").alias("key"), true.alias("leaf"), told.alias("claimed")), "merkle-rows")
-    rounds = [_blocks(_placed(leaves), height, "merkle-blocks")]  # each round's blocks; from `joined` on they are of subroots
+    placed, numbered = _placed(leaves)
+    rounds = [_blocks(placed, height, "merkle-blocks")]  # each round's blocks; from `joined` on they are of subroots
+    kind = leaves.schema["key"].dataType.simpleString()
+    _store.drop(leaves, numbered)
     joined = None
     while rounds[-1].count() > top_nodes:
         nodes = rounds[-1].select("grp", F.col("block").alias("pos"), F.col("root").alias("node"))
@@ -235,7 +238,6 @@ def prove(docs: DataFrame, *, key: str = "doc_id", group: str = "lang", columns:
         if number == joined:  # a subroot's place is its group's rank
             paths = paths.select(F.col("block").alias("grp"), F.lit(0).cast("bigint").alias("block"), "path", F.col("node").alias("subroot"))
         blocks, source = rounds[number - 1].join(paths.drop("node"), ["grp", "block"]), None
-    kind = leaves.schema["key"].dataType.simpleString()
     schema = f"key {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string" + f", path {_PATH}" * with_path
     made = blocks.mapInArrow(partial(_proved, height=height, top=source, with_path=with_path), schema)
     return made.withColumn("verified", F.col("folded_root") == F.col("root")).withColumnRenamed("key", key)

@@ -62,6 +62,10 @@ class Model:
     weights: np.ndarray = field(repr=False)
     bias: float = 0.0
 
+    def tells(self) -> bool:
+        """Has it learned from labels of both kinds?"""
+        return bool((self.column >= 0).any())
+
     def scores(self, column: pa.Array) -> np.ndarray:
         rows, features = features_of(column, self.column, self.bits)
         logit = self.bias + np.bincount(rows, weights=self.weights[features], minlength=len(column))
