@@ -3,6 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps, with the columns
 of ``documents`` (the last one returns pieces of sequences).  ``run`` writes every
 stage's result as Parquet in the shared folder and hands on what it reads back.
+
+Defined results: documents with a null or empty text have no language and go in the
+first stage; an empty table gives an empty one at every stage, and without labels, or
+with labels of one kind, nothing is toxic; an empty benchmark leaks nothing.  Rows of one
+``doc_id`` are rows of their own until the near duplicates, where of rows with the same
+key and words one stays; rows without a ``doc_id`` are judged like others, but teach no
+toxicity and stay as near duplicates.  Columns beside those of ``documents`` are handed
+on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score as toxic."""
+    """Drop documents that score as toxic; none if the labels are of one kind and tell no text from another."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.tells():
+        return docs
     return toxicity.score(docs, model, score_name="__toxicity").where(F.col("__toxicity") < TOXIC_SCORE).select(*docs.columns)
 
 
