@@ -146,7 +146,7 @@ def expanded_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTPUTS = "outputs AS (SELECT doc_id AS nth, '/o/scan' || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 11 = 1 THEN '_2_' || (doc_id % 4) ELSE '_' || (doc_id % 17) END || CASE doc_id % 5 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '' ELSE '.pdf' END AS path FROM documents)"
 
 
-@query(f"""WITH RECURSIVE {OUTPUTS},
+@query(rf"""WITH RECURSIVE {OUTPUTS},
 cut AS (SELECT *, regexp_extract(path, '(\.[^./]*)$', 1) AS ending, row_number() OVER (PARTITION BY regexp_extract(path, '(\.[^./]*)$', 1) ORDER BY nth) AS n FROM outputs),
 split AS (SELECT *, left(path, length(path) - length(ending)) AS stem FROM cut),
 walk AS (
