@@ -1,10 +1,11 @@
 """Graphs and trees of a document's objects, as tables of edges and of parents.
 
-Nodes are rows ``(doc, object)``; all documents are worked on at once, and a document of
-any size is dealt over many tasks.  What can be reached is found frontier by frontier:
-each round takes several hops, keeps what is new, and is written, so a lost executor costs
-a round at most.  Ways up a tree are halved round by round: each node points at its
-parent, then at its grandparent, then four levels up, so a hundred levels take seven rounds.
+Nodes are rows ``(doc, object)``.  Documents of up to ``WHOLE`` rows are shuffled once, by
+document, and walked where they lie (``local_graphs``).  A larger one is dealt over many
+tasks: what can be reached is found frontier by frontier, where each round takes several
+hops, keeps what is new, and is written, so a lost executor costs a round at most.  Ways up
+a tree are halved round by round: each node points at its parent, then at its grandparent,
+then four levels up, so a hundred levels take seven rounds.
 """
 
 from __future__ import annotations
@@ -15,16 +16,62 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import local_graphs
 from leafmill.operators.batches import ranked
 from leafmill.sources.tables import written
 
+#: Rows of a document that one task takes whole (some 200 MB), and classes of documents whose rows are counted first.
+WHOLE, CLASSES = 1 << 20, 4096
 
-def reachable(edges: DataFrame, roots: DataFrame, *, labels: tuple[str, ...] = (), hops: int = 4) -> DataFrame:
+
+def _parted(rows: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of documents of up to ``whole`` rows, dealt and sorted by ``doc``; ``(doc)`` of the larger ones, or None).
+
+    A large document makes its class large, so documents are counted in such classes alone.
+    """
+    own = F.pmod(F.xxhash64("doc"), F.lit(CLASSES))
+    named = rows.where("doc is not null").select("doc")
+    full = [r.own for r in named.groupBy(own.alias("own")).count().where(F.col("count") > whole).collect()]
+    large = written(named.where(own.isin(full)).groupBy("doc").count().where(F.col("count") > whole).select("doc"), "graph-large") if full else None
+    if large is None or large.isEmpty():
+        return rows.repartition("doc").sortWithinPartitions("doc"), None
+    return rows.join(large, "doc", "left_anti").repartition("doc").sortWithinPartitions("doc"), large
+
+
+def _graph(edges: DataFrame, roots: DataFrame, objects: DataFrame | None, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``(kind, doc, object, ref, place, labels)`` of all that is said about a graph."""
+    kinds = [(local_graphs.LINK, edges, ["ref", *(["place"] if "place" in edges.columns else [])]), (local_graphs.ROOT, roots, list(labels))]
+    kinds += [] if objects is None else [(local_graphs.THERE, objects, [])]
+    parts = [rows.select(F.lit(kind).alias("kind"), "doc", "object", *more) for kind, rows, more in kinds]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _ddl(rows: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def reachable(edges: DataFrame, roots: DataFrame, *, labels: tuple[str, ...] = (), objects: DataFrame | None = None, apart: bool = False, hops: int = 4, whole: int = WHOLE) -> DataFrame:
     """``(labels, doc, object)`` that ``roots`` of that form lead to over ``edges (doc, object, ref)``, each once.
 
     Roots are in it.  Each combination of ``labels`` walks for itself.  Nulls lead
-    nowhere; loops, repeated edges and edges to unknown objects do no harm.
+    nowhere; loops, repeated edges and edges to unknown objects do no harm.  Of what is
+    found only ``objects (doc, object)`` count, if given.  With ``apart`` no way leads to a root.
     """
+    rows = _graph(edges, roots, objects, labels)
+    near, large = _parted(rows, whole)
+    found = near.mapInArrow(local_graphs.reach(list(labels), apart, objects is not None), _ddl(rows, *labels, "doc", "object"))
+    if large is None:
+        return found
+    starts = roots.join(large, "doc", "left_semi")
+    links = edges.select("doc", "object", "ref").join(large, "doc", "left_semi")
+    if apart:
+        links = links.join(starts.select("doc", F.col("object").alias("ref")).distinct(), ["doc", "ref"], "left_anti")
+    far = _frontiers(links, starts, labels, hops)
+    return found.unionByName(far if objects is None else far.join(objects.select("doc", "object").distinct(), ["doc", "object"], "left_semi"))
+
+
+def _frontiers(edges: DataFrame, roots: DataFrame, labels: tuple[str, ...] = (), hops: int = 4) -> DataFrame:
+    """What is ``reachable``, frontier by frontier."""
     place = [*labels, "doc", "object"]
     known = written(edges.select("doc", "object", "ref").where("doc is not null and object is not null and ref is not null").distinct(), "graph-edges")
     found = [written(roots.select(*place).where("doc is not null and object is not null").distinct(), "graph-roots")]
@@ -56,26 +103,30 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> Data
     return placed.join(first, "doc").withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
 
 
-def pruned(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pruned(objects: DataFrame, edges: DataFrame, roots: DataFrame, *, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """(kept ``(doc, object, number)``, their references ``(doc, number, place, target)``).
 
     Kept are the ``objects (doc, object)`` that ``roots`` lead to, numbered from 1 in
     each document by their old numbers.  ``edges (doc, object, place, ref)`` of kept
     objects point at new numbers; those to objects that are unknown point at null.
     """
-    kept = reachable(edges, roots).join(objects.select("doc", "object").distinct(), ["doc", "object"], "left_semi")
+    rows = _graph(edges, roots, objects)
+    near, large = _parted(rows, whole)
+    found = near.mapInArrow(local_graphs.prune(False), _ddl(rows, "doc", "object") + ", number bigint")
+    pointed = near.mapInArrow(local_graphs.prune(True), f"{_ddl(rows, 'doc')}, number bigint, {_ddl(rows, 'place')}, target bigint")
+    if large is None:
+        return found, pointed
+    edges = edges.join(large, "doc", "left_semi")
+    kept = _frontiers(edges, roots.join(large, "doc", "left_semi")).join(objects.select("doc", "object").distinct(), ["doc", "object"], "left_semi")
     kept = written(numbered(kept, [F.col("object")]), "graph-kept").select("doc", "object", "number")
     targets = kept.select("doc", F.col("object").alias("ref"), F.col("number").alias("target"))
     references = edges.select("doc", "object", "place", "ref").join(kept, ["doc", "object"]).join(targets, ["doc", "ref"], "left")
-    return kept, references.select("doc", "number", "place", "target")
+    return found.unionByName(kept), pointed.unionByName(references.select("doc", "number", "place", "target"))
 
 
-def page_objects(objects: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+def page_objects(objects: DataFrame, edges: DataFrame, pages: DataFrame, *, whole: int = WHOLE) -> DataFrame:
     """``(page, doc, object)`` of what each of ``pages (doc, object)`` needs to stand alone: no way leads through another page."""
-    sheets = pages.select("doc", "object").distinct()
-    inner = edges.join(sheets.withColumnRenamed("object", "ref"), ["doc", "ref"], "left_anti")
-    found = reachable(inner, sheets.withColumn("page", F.col("object")), labels=("page",))
-    return found.join(objects.select("doc", "object").distinct(), ["doc", "object"], "left_semi").select("page", "doc", "object")
+    return reachable(edges, pages.select("doc", "object", F.col("object").alias("page")), labels=("page",), objects=objects, apart=True, whole=whole)
 
 
 def _climbed(nodes: DataFrame, merged: dict[str, Column], rounds: int, going: Column) -> DataFrame:
@@ -92,25 +143,35 @@ def _climbed(nodes: DataFrame, merged: dict[str, Column], rounds: int, going: Co
     return state
 
 
-def inherited(nodes: DataFrame, *, limit: int = 100) -> DataFrame:
+def inherited(nodes: DataFrame, *, limit: int = 100, whole: int = WHOLE) -> DataFrame:
     """``(doc, node, value, levels)``: the value of ``nodes (doc, node, parent, value)`` or of the nearest ancestor that has one, and how far up it is.
 
     Ancestors over ``limit`` levels up do not count, so a loop of parents ends; a parent
     that is unknown ends the way.  A node must be named once in a document.
     """
+    near, large = _parted(nodes.select("doc", "node", "parent", "value"), whole)
+    found = near.mapInArrow(local_graphs.inherit(limit), _ddl(nodes, "doc", "node", "value") + ", levels int")
+    if large is None:
+        return found
+    nodes = nodes.join(large, "doc", "left_semi")
     rows = nodes.select("doc", "node", F.col("parent").alias("up"), "value", F.when(F.col("value").isNotNull(), 0).cast("int").alias("levels"), F.lit(1).alias("far"))
     merged = {"value": F.col("at_value"), "levels": F.col("far") + F.col("at_levels"), "far": F.col("far") + F.col("at_far")}
     done = _climbed(rows, merged, math.ceil(math.log2(limit + 1)), F.col("value").isNull())
-    near = F.col("levels") <= limit
-    return done.select("doc", "node", F.when(near, F.col("value")).alias("value"), F.when(near, F.col("levels")).alias("levels"))
+    close = F.col("levels") <= limit
+    return found.unionByName(done.select("doc", "node", F.when(close, F.col("value")).alias("value"), F.when(close, F.col("levels")).alias("levels")))
 
 
-def full_names(nodes: DataFrame, *, joint: str = ".", limit: int = 32) -> DataFrame:
+def full_names(nodes: DataFrame, *, joint: str = ".", limit: int = 32, whole: int = WHOLE) -> DataFrame:
     """``(doc, node, full, depth)``: the names of a node's ancestors and its own with ``joint`` between, and its level (a root: 1).
 
     Nodes with no or an empty name add nothing.  Deeper than ``limit`` levels (as in a loop of
     parents) both are null; a parent that is unknown ends the way.
     """
+    near, large = _parted(nodes.select("doc", "node", "parent", "name"), whole)
+    found = near.mapInArrow(local_graphs.name(joint, limit), _ddl(nodes, "doc", "node") + ", full string, depth int")
+    if large is None:
+        return found
+    nodes = nodes.join(large, "doc", "left_semi")
     rows = nodes.select("doc", "node", F.col("parent").alias("up"), F.nullif(F.col("name"), F.lit("")).alias("full"), F.lit(1).alias("depth"))
     merged = {
         "full": F.nullif(F.concat_ws(joint, F.col("at_full"), F.col("full")), F.lit("")),
@@ -118,5 +179,5 @@ def full_names(nodes: DataFrame, *, joint: str = ".", limit: int = 32) -> DataFr
     }
     # after k rounds a way of 2^k levels is walked; what still goes on, or went further, is too deep
     done = _climbed(rows, merged, math.ceil(math.log2(limit)) + 1, F.col("depth") <= limit)
-    whole = F.col("up").isNull() & (F.col("depth") <= limit)
-    return done.select("doc", "node", F.when(whole, F.col("full")).alias("full"), F.when(whole, F.col("depth")).alias("depth"))
+    ended = F.col("up").isNull() & (F.col("depth") <= limit)
+    return found.unionByName(done.select("doc", "node", F.when(ended, F.col("full")).alias("full"), F.when(ended, F.col("depth")).alias("depth")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import graphs, naming
 from leafmill.plans.queries import _table, query
 from leafmill.sources import inputs
+from leafmill.sources.tables import written
 
 OBJECTS = """
 sheets AS (SELECT o_custkey AS doc, CAST(o_orderkey AS BIGINT) * 64 AS object, o_orderstatus AS status, o_orderpriority AS priority,
@@ -33,48 +34,56 @@ tree AS (SELECT doc, object AS node, previous AS parent, CASE WHEN status = 'F'
   UNION ALL SELECT doc, object, CASE WHEN number = 1 THEN sheet ELSE object - 1 END, CASE WHEN quantity > 45 THEN mode END, mode FROM lines)"""
 
 
-def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = Window.partitionBy("doc").orderBy("object")
-    own = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey").cast("bigint") * 64).alias("object"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return own.withColumn("following", F.lead("object").over(row)).withColumn("previous", F.lag("object").over(row))
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    lines = _table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey").cast("bigint") * 64).alias("sheet"), line.alias("number"), F.col("l_returnflag").alias("flag"), F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")).alias("mode"), F.col("l_quantity").alias("quantity"), F.col("l_suppkey").alias("supplier")
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each order (``number`` null) and each line; lines are joined by the key that they are numbered by, so they are shuffled once."""
+    row, order = Window.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_orderkey").cast("bigint") * 64
+    sheets = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("l_orderkey"), order.alias("sheet"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.lead(order).over(row).alias("following"), F.lag(order).over(row).alias("previous")
     )
-    own = _sheets(spark, sf_dir).withColumnRenamed("object", "sheet").join(lines, "sheet")
-    return own.withColumn("object", F.col("sheet") + F.col("number"))
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    mode = F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string"))
+    line = F.struct(number.alias("number"), F.col("l_returnflag").alias("flag"), mode.alias("mode"), F.col("l_quantity").alias("quantity"), F.col("l_suppkey").alias("supplier"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("line"))
+    # an order stands beside its first line, so that one join gives both
+    none = F.lit(None).cast(lines.schema["line"].dataType)
+    both = F.when(F.coalesce(F.col("line.number"), F.lit(1)) == 1, F.array(none, F.col("line"))).otherwise(F.array(F.col("line")))
+    rows = sheets.join(lines, "l_orderkey", "left").withColumn("lone", F.col("line").isNull()).select("*", F.posexplode(both).alias("at", "row"))
+    rows = rows.where(~F.col("lone") | (F.col("at") == 0)).select("doc", "sheet", "status", "priority", "following", "previous", "row.*")
+    return rows.withColumn("object", F.col("sheet") + F.coalesce("number", F.lit(0)))
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(objects, edges, roots)"""
-    sheets, lines = _sheets(spark, sf_dir), _lines(spark, sf_dir)
+    """(objects, edges, sheets)"""
+    line = F.col("number").isNotNull()
+    refs = [
+        F.when(~line, F.col("object") + 1),
+        F.when(F.col("flag") != "R", F.col("object") + 1),
+        F.when(F.col("quantity") > 30, F.col("following")),
+        F.when(F.col("mode") == "m1", F.col("previous")),
+        F.when(F.col("mode") == "m2", -F.col("supplier").cast("bigint")),
+    ]
+    rows = written(_rows(spark, sf_dir).select("doc", "object", line.alias("line"), F.array(*refs).alias("refs")), "structure")
+    edges = rows.select("doc", "object", F.posexplode("refs").alias("place", "ref")).where("ref is not null")
+    return rows.select("doc", "object"), edges, rows.where("not line").select("doc", "object")
 
-    def edge(rows: DataFrame, place: int, ref) -> DataFrame:
-        return rows.select("doc", "object", F.lit(place).alias("place"), ref.cast("bigint").alias("ref")).where("ref is not null")
 
-    edges = edge(sheets, 0, F.col("object") + 1)
-    edges = edges.union(edge(lines.where("flag <> 'R'"), 1, F.col("object") + 1)).union(edge(lines.where("quantity > 30"), 2, F.col("following")))
-    edges = edges.union(edge(lines.where("mode = 'm1'"), 3, F.col("previous"))).union(edge(lines.where("mode = 'm2'"), 4, -F.col("supplier").cast("bigint")))
-    objects = sheets.select("doc", "object").union(lines.select("doc", "object"))
-    return objects, edges, sheets.groupBy("doc").agg(F.min("object").alias("object"))
+def _first(sheets: DataFrame) -> DataFrame:
+    return sheets.groupBy("doc").agg(F.min("object").alias("object"))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheets, lines = _sheets(spark, sf_dir), _lines(spark, sf_dir)
+    line = F.col("number").isNotNull()
     name = F.when(F.col("status") != "P", F.concat("status", F.col("object").cast("string")))
     above = F.when(F.col("number") == 1, F.col("sheet")).otherwise(F.col("object") - 1)
-    top = sheets.select("doc", F.col("object").alias("node"), F.col("previous").alias("parent"), F.when(F.col("status") == "F", F.col("priority")).alias("value"), name.alias("name"))
-    return top.union(lines.select("doc", F.col("object").alias("node"), above.alias("parent"), F.when(F.col("quantity") > 45, F.col("mode")).alias("value"), F.col("mode").alias("name")))
+    value = F.when(line, F.when(F.col("quantity") > 45, F.col("mode"))).when(F.col("status") == "F", F.col("priority"))
+    return _rows(spark, sf_dir).select("doc", F.col("object").alias("node"), F.when(line, above).otherwise(F.col("previous")).alias("parent"), value.alias("value"), F.when(line, F.col("mode")).otherwise(name).alias("name"))
 
 
 @query(f"WITH RECURSIVE {OBJECTS}, {REACHED} SELECT r.doc, r.object FROM reached r JOIN objects o ON o.doc = r.doc AND o.object = r.object")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that a document's root leads to."""
-    objects, edges, roots = _objects(spark, sf_dir)
-    return graphs.reachable(edges, roots).join(objects, ["doc", "object"], "left_semi")
+    objects, edges, sheets = _objects(spark, sf_dir)
+    return graphs.reachable(edges, _first(sheets), objects=objects)
 
 
 @query(f"""WITH RECURSIVE {OBJECTS}, {REACHED},
@@ -82,7 +91,8 @@ kept AS (SELECT r.doc, r.object, row_number() OVER (PARTITION BY r.doc ORDER BY
 SELECT e.doc, k.number, e.place, t.number AS target FROM edges e JOIN kept k ON k.doc = e.doc AND k.object = e.object LEFT JOIN kept t ON t.doc = e.doc AND t.object = e.ref""")
 def pruned_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References between the objects that are kept, under their new numbers."""
-    return graphs.pruned(*_objects(spark, sf_dir))[1]
+    objects, edges, sheets = _objects(spark, sf_dir)
+    return graphs.pruned(objects, edges, _first(sheets))[1]
 
 
 @query(f"""WITH RECURSIVE {OBJECTS}, inner_edges AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM sheets s WHERE s.doc = e.doc AND s.object = e.ref)),
@@ -90,8 +100,7 @@ reached AS (SELECT object AS page, doc, object FROM sheets UNION SELECT r.page,
 SELECT r.page, r.doc, r.object FROM reached r JOIN objects o ON o.doc = r.doc AND o.object = r.object""")
 def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page needs to stand in a file of its own."""
-    objects, edges, _ = _objects(spark, sf_dir)
-    return graphs.page_objects(objects, edges, _sheets(spark, sf_dir))
+    return graphs.page_objects(*_objects(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {OBJECTS}, {TREE},
@@ -99,7 +108,7 @@ up AS (SELECT doc, node, parent, value, 0 AS levels FROM tree UNION ALL SELECT u
 SELECT t.doc, t.node, u.value, CAST(u.levels AS INT) AS levels FROM tree t LEFT JOIN (SELECT * FROM up WHERE value IS NOT NULL) u ON u.doc = t.doc AND u.node = t.node""")
 def inherited_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An attribute of each node, or that of the nearest ancestor which has it."""
-    return graphs.inherited(_tree(spark, sf_dir))
+    return graphs.inherited(written(_tree(spark, sf_dir).drop("name"), "structure"))
 
 
 @query(f"""WITH RECURSIVE {OBJECTS}, {TREE},
@@ -108,7 +117,7 @@ down AS (SELECT doc, node, name AS "full", 1 AS depth FROM tree WHERE parent IS
 SELECT t.doc, t.node, d."full", CAST(d.depth AS INT) AS depth FROM tree t LEFT JOIN down d ON d.doc = t.doc AND d.node = t.node""")
 def full_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of nodes with those of their ancestors, and their levels."""
-    return graphs.full_names(_tree(spark, sf_dir))
+    return graphs.full_names(written(_tree(spark, sf_dir).drop("value"), "structure"))
 
 
 FOUND = "found AS (SELECT DISTINCT '/data/' || source || '/' || CASE WHEN doc_id % 9 = 0 THEN '~$' ELSE '' END || 'scan ' || (doc_id % 50) || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.xyz' WHEN 2 THEN '' ELSE '.jpg' END AS path FROM documents)"
