@@ -1,12 +1,16 @@
 """An invisible layer of recognised words over the image of a page.
 
 A font is a table of its characters' glyphs and advances (as many rows as Unicode has
-characters at most, some 30 MB, so joins may broadcast it).  The width of each distinct text is the sum over its characters; the
-place, size and stretching of a word are columns.
+characters at most, some 30 MB, so each task may hold it).  The width of a text is the sum
+over its characters; the place, size and stretching of a word are columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +27,28 @@ def font_table(spark: SparkSession, font) -> DataFrame:
     return spark.createDataFrame(rows, "character string, glyph int, advance double")
 
 
-def text_widths(texts: DataFrame, font: DataFrame, missing: float) -> DataFrame:
-    """``(text, ems, glyphs)`` of distinct ``texts (text)``: width as a share of the size, and glyph numbers in hexadecimal; other characters are glyph 0, ``missing`` wide."""
-    known = F.broadcast(font.select("character", "glyph", "advance"))
-    spread = texts.select("text").distinct().select("text", F.posexplode(F.split("text", "")).alias("i", "character"))
-    found = spread.join(known, "character", "left").select("text", "i", F.coalesce("advance", F.lit(missing)).alias("advance"), F.lpad(F.hex(F.coalesce("glyph", F.lit(0))), 4, "0").alias("code"))
-    parts = F.array_sort(F.collect_list(F.struct("i", "advance", "code")))
-    made = found.groupBy("text").agg(parts.alias("parts"))
-    ems = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["advance"])  # in order, so equal texts have equal widths
-    return made.select("text", ems.alias("ems"), F.array_join(F.transform("parts", lambda p: p["code"]), "").alias("glyphs"))
+def with_widths(words: DataFrame, text: str, font: DataFrame, missing: float) -> DataFrame:
+    """``words`` with ``ems`` and ``glyphs`` in place of ``text``: width as a share of the size, and glyph numbers in hexadecimal; other characters are glyph 0, ``missing`` wide.
+
+    The font goes to the tasks, so texts are measured where they lie.
+    """
+    known = [(ord(r.character), r.glyph or 0, missing if r.advance is None else r.advance) for r in font.where("char_length(character) = 1").select("character", "glyph", "advance").collect()]
+    kept = [c for c in words.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(0x110000, len(known), np.int32)
+        place[np.array([c for c, _, _ in known], np.int64)] = np.arange(len(known))
+        advances = np.array([*(a for _, _, a in known), missing], np.float64)
+        codes = np.array([*(f"{g:04X}"[:4] for _, g, _ in known), "0000"], "S4")
+        for batch in batches:
+            ems, glyphs = [], []
+            for shown in batch.column(text).to_pylist():
+                at = place[np.frombuffer((shown or "").encode("utf-32-le"), np.uint32)]
+                ems.append(float(np.cumsum(advances[at])[-1]) if len(at) else 0.0)  # in order, so equal texts have equal widths
+                glyphs.append(codes[at].tobytes().decode("ascii"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ems, pa.float64()), pa.array(glyphs, pa.string())], names=[*kept, "ems", "glyphs"])
+
+    return words.mapInArrow(run, words.select(*kept).schema.add("ems", "double").add("glyphs", "string"))
 
 
 def placed_words(words: DataFrame, font: DataFrame, ascent: float, missing: float = 0.5) -> DataFrame:
@@ -41,11 +58,10 @@ def placed_words(words: DataFrame, font: DataFrame, ascent: float, missing: floa
     stretched to its box.  Heights count upwards from the foot of the area.
     """
     spaced = F.concat("text", F.lit(" "))
-    shown = text_objects(words).withColumn("shown", spaced)
-    widths = text_widths(shown.select(F.col("shown").alias("text")), font, missing).withColumnRenamed("text", "shown")
+    shown = text_objects(words).withColumn("text", spaced)
     size = F.greatest("line_height", "height", F.lit(LEAST_SIZE))
     natural = F.col("ems") * F.col("size")
-    sized = shown.join(widths, "shown").withColumn("size", size)
+    sized = with_widths(shown, "text", font, missing).withColumn("size", size)
     return sized.select(
         "doc",
         "pos",

@@ -58,3 +58,11 @@ def test_unplaced_text_fills_the_area(spark):
             break
     assert [(r.pos, r.y) for r in got] == wanted
     assert overlays.unplaced_lines(lines.limit(0)).count() == 0
+
+
+def test_texts_are_measured_where_they_lie(spark):
+    rows = [(0, "abé", 0.0, 5.0, 8.0, 6.0, 30.0), (1, "b", 9.0, 5.0, 8.0, 6.0, 30.0)]
+    font = spark.createDataFrame([("a", 1, 0.5), ("b", 0x1234, 0.25), (" ", 3, 0.125)], "character string, glyph int, advance double")
+    placed = overlays.placed_words(words(spark, rows), font, 0.8, missing=2.0)
+    assert [r.glyphs for r in placed.orderBy("pos").collect()] == ["0001123400000003", "12340003"]
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
