@@ -4,9 +4,10 @@ A URL is a set of tokens (scheme, host, parts of the host, path segments,
 file ending, query and fragment).  FP-growth mines token combinations of labelled
 URLs together with their label; combinations that imply ``block`` in enough rows, with
 enough confidence, and above the share of bad rows by more than chance are rules.  Labels
-alone teach: what is listed says nothing of other URLs.  Of a URL's tokens the ``WIDEST``
-rarest among bad rows are combined, so a row gives at most ``2 ** WIDEST`` combinations and
-the number of those that enough rows have grows with the rows at most.  Chance
+alone teach: what is listed says nothing of other URLs.  FP-growth combines the ``WIDEST``
+rarest tokens of a row.  What rows with more tokens have beyond that is found level by level
+(``beyond``): of combinations that the same rows have the smallest are enough, as they are
+right as often and fit every URL that the others fit.  Chance
 is bounded for all combinations at once: that any of ``m`` that tell nothing passes has a
 probability of at most ``ERROR``, by the Chernoff bound
 ``rows * KL(confidence, share of bad rows) >= ln(m / ERROR)``.  So the test is the same at
@@ -98,16 +99,21 @@ def mine(labelled: DataFrame, *, min_confidence: float = 0.6, min_rows: int = 8)
     # Every such token is a combination that is tested, so a rule has to pass for that many at least.
     least = max(min_rows, math.ceil(math.log(max(single.count(), 1) / ERROR) / -math.log(share)))
     # Only combinations found among bad rows can be rules; how many rows have them in all is counted below.
-    spread = tally.where("n_bad > 0").select("items", "n_bad", F.explode("items").alias("token")).join(single.where(F.col("freq") >= least), "token")
-    rarest = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("freq", "token"))), 1, WIDEST), lambda t: t["token"])
-    chosen = spread.groupBy("items", "n_bad").agg(rarest.alias("chosen"))
+    spread = tally.select("items", "n", "n_bad", F.explode("items").alias("token")).join(single.where(F.col("freq") >= least), "token")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("freq", "token"))), lambda t: t["token"])
+    ordered = spread.groupBy("items", "n", "n_bad").agg(listed.alias("listed")).groupBy("listed").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    ordered = _store.written(ordered, "url-ordered")
+    chosen = ordered.where("n_bad > 0").select("n_bad", F.slice("listed", 1, WIDEST).alias("chosen"))
     transactions = chosen.select(F.explode(F.array_repeat("chosen", F.col("n_bad").cast("int"))).alias("items"))
     transactions = _store.written(transactions, "url-transactions")
     kept = transactions.count()
     if kept < least:
         return none
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / kept).fit(transactions)
-    found = _store.written(model.freqItemsets.select(F.array_sort("items").alias("antecedent")), "url-itemsets")
+    found = model.freqItemsets.select(F.array_sort("items").alias("antecedent"))
+    for rest in beyond(ordered, n, least):
+        found = found.union(rest.select(F.array_sort("antecedent")))
+    found = _store.written(found.distinct(), "url-itemsets")
     m = found.count()
     index = _store.written(keyed(found, tally), "url-itemsets-keyed")
     spread = tally.select("items", "n", "n_bad", F.explode("items").alias("key"))
@@ -116,8 +122,41 @@ def mine(labelled: DataFrame, *, min_confidence: float = 0.6, min_rows: int = 8)
     clean = F.when(confidence < 1, (1 - confidence) * F.log((1 - confidence) / (1 - share))).otherwise(0.0)
     telling = (confidence > share) & (F.col("rows") * (confidence * F.log(confidence / share) + clean) >= math.log(max(m, 1) / ERROR))
     rules = _store.written(cover.where((confidence >= min_confidence) & telling).select("key", "antecedent", confidence.alias("confidence"), (F.col("hits") / n).alias("support")), "url-rules")
-    _store.drop(tally, single, transactions, found, index)
-    return rules
+    # what a rule of fewer tokens blocks as surely is blocked by that one
+    inner = rules.select("key", F.col("antecedent").alias("inner"), F.col("confidence").alias("sure"))
+    fewer = (F.size("inner") < F.size("antecedent")) & (F.size(F.array_except("inner", "antecedent")) == 0) & (F.col("sure") >= F.col("confidence"))
+    needless = rules.select("antecedent", "confidence", F.explode("antecedent").alias("key")).join(inner, "key").where(fewer).select("antecedent").distinct()
+    needed = _store.written(rules.join(needless, "antecedent", "left_anti").select(*rules.columns), "url-rules")
+    _store.drop(tally, single, ordered, transactions, found, index, rules)
+    return needed
+
+
+def beyond(ordered: DataFrame, n: int, least: int) -> list[DataFrame]:
+    """Tables of ``antecedent``: combinations that ``least`` bad rows have, in some bad row of over ``WIDEST`` tokens, none of whose parts the same rows have.
+
+    ``ordered (listed, n, n_bad)`` has tokens from the rarest on.  Parts of such a combination
+    are such ones, so each level extends the one before, and those that a part makes
+    needless are not extended.  ``n`` rows have the empty one.
+    """
+    wide = ordered.select("*", ((F.size("listed") > WIDEST) & (F.col("n_bad") > 0)).alias("wide"))
+    if wide.where("wide").isEmpty():
+        return []
+    start = wide.select("*", F.array().cast("array<string>").alias("antecedent"), F.lit(0).alias("at"))
+    parts = ordered.sparkSession.createDataFrame([([], n)], "part array<string>, n_part bigint")
+    levels: list[DataFrame] = []
+    while True:
+        longer = start.select("listed", "n", "n_bad", "wide", "antecedent", "at", F.posexplode(F.slice("listed", F.col("at") + 1, F.size("listed"))).alias("step", "token"))
+        longer = longer.select("listed", "n", "n_bad", "wide", F.concat("antecedent", F.array("token")).alias("antecedent"), (F.col("at") + F.col("step") + 1).alias("at"))
+        counted = longer.groupBy("antecedent").agg(F.sum("n").alias("n_rows"), F.sum("n_bad").alias("hits"), F.max("wide").alias("wide")).where((F.col("hits") >= least) & F.col("wide"))
+        without = F.transform("antecedent", lambda x: F.filter("antecedent", lambda y: y != x))
+        known = counted.select("antecedent", "n_rows", F.explode(without).alias("part")).join(parts, "part").where("n_part > n_rows")
+        level = known.groupBy("antecedent", "n_rows").agg(F.count("*").alias("held")).where(F.col("held") == F.size("antecedent")).select("antecedent", "n_rows")
+        level = _store.written(level, "url-level")
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+        start = _store.written(longer.join(level.select("antecedent"), "antecedent", "left_semi"), "url-level-rows")
+        parts = level.select(F.col("antecedent").alias("part"), F.col("n_rows").alias("n_part"))
 
 
 def keyed(itemsets: DataFrame, tally: DataFrame) -> DataFrame:

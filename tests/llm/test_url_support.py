@@ -118,3 +118,12 @@ def test_many_tokens_stay_bounded(spark):
     rows = [(f"https://bad.net/x?{query}", True)] * 30 + [(f"https://good{i}.net/y", False) for i in range(90)]
     labelled = spark.createDataFrame(rows, "url string, bad boolean").select(url_rules.tokens(F.col("url")).alias("tokens"), "bad")
     assert 0 < url_rules.mine(labelled).count() < 2**url_rules.WIDEST
+
+
+def test_rules_of_tokens_beyond_the_rarest_are_found(spark):
+    # a, b and c tell nothing but together, and nine rarer tokens of every bad row that has all three hide them from FP-growth
+    rare = ["&".join(f"{c}{i}=1" for i in range(url_rules.WIDEST + 1)) for c in "rs"]
+    rows = [(f"https://x.net/a/b/c?{r}", True) for r in rare] * 24
+    rows += [(f"https://x.net/{p}?n{i}=2", i % 3 == 0) for p in ("a/b", "b/c", "a/c") for i in range(150)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    assert verdicts(spark, ["https://y.org/a/b/c", "https://y.org/a/b", "https://y.org/c", f"https://y.org/?{rare[0]}"], labelled) == ["block", "allow", "allow", "block"]
