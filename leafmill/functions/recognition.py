@@ -45,7 +45,10 @@ def scripts(token: Column) -> Column:
     cyrillic, latin = _count(token, "Ѐ-ӿ"), _count(token, "A-Za-z")
     russian = cyrillic > latin
     mixed = token.rlike("[Ѐ-ӿ]") & token.rlike("[A-Za-z]")
-    one = F.when(~mixed | (cyrillic == latin), token).when(russian, F.translate(token, LATIN, CYRILLIC)).otherwise(F.translate(token, CYRILLIC, LATIN))
+    # counted once: an expression that is named in two places is worked out in both
+    more = lambda d: F.when(d == 0, token).when(d > 0, F.translate(token, LATIN, CYRILLIC)).otherwise(F.translate(token, CYRILLIC, LATIN))
+    turned = F.get(F.transform(F.array(cyrillic - latin), more), F.lit(0))
+    one = F.when(mixed, turned).otherwise(token)
 
     def letters(run: Column, before: Column, after: Column) -> Column:
         between = before.rlike(r"\p{L}$") & after.rlike(r"^\p{L}") & ~(russian & run.contains("1"))
@@ -54,7 +57,7 @@ def scripts(token: Column) -> Column:
         return F.when(between, made.otherwise(F.when(upper, F.translate(run, "01", "OI")).otherwise(F.translate(run, "01", "ol")))).otherwise(run)
 
     within = token.rlike(r"\p{L}[01]+\p{L}") & (F.greatest(cyrillic, latin) >= 3) & ~token.rlike("[2-9]")
-    return F.when(within, _pieces(one, "01", letters)).when(mixed, one).otherwise(token)
+    return F.when(within, _pieces(one, "01", letters)).when(mixed, turned).otherwise(token)
 
 
 def sign(token: Column) -> Column:
@@ -64,7 +67,8 @@ def sign(token: Column) -> Column:
 
 def corrected(text: Column) -> Column:
     """Recognised text with its common misreadings corrected; white space stays as it is, and a null is one."""
-    tokens = F.regexp_extract_all(text, F.lit(f"[{_SPACE}]+|[^{_SPACE}]+"), F.lit(0))
+    # no step changes a token without a digit, a Cyrillic letter or an N, so such ones stay together, up to the white space behind them
+    tokens = F.regexp_extract_all(text, F.lit(f"[^0-9Ѐ-ӿN]*[{_SPACE}]+|[^{_SPACE}]+"), F.lit(0))
     # one step a pass: an expression that is named twice in the next one would be worked out twice
     for step in (sign, digits, scripts):
         tokens = F.transform(tokens, step)

@@ -79,3 +79,10 @@ def test_random_tokens_equal_the_function(spark):
     got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(R.corrected(F.col("t")).alias("x")).collect()]
     wrong = [(t, g, correct(t)) for t, g in zip(texts, got) if g != correct(t)]
     assert not wrong, wrong[:5]
+
+
+def test_tokens_that_nothing_changes_stay_together(spark):
+    text = "plain words,\tNQ1 and wоrld N o1d 12З4  a\n" + "more of them  " * 3000 + "le11er end"
+    row = spark.createDataFrame([(text,)], "t string").select(R.corrected(F.col("t")).alias("c"))
+    assert row.first().c == text.replace("NQ1", "№1").replace("wоrld", "world").replace("12З4", "1234").replace("le11er", "leller")
+    assert row._jdf.queryExecution().optimizedPlan().toString().count("[^0-9Ѐ-ӿN]*[") == 1
