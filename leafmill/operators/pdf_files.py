@@ -8,41 +8,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.rows import gathered
 from leafmill.sources import pdf, pdf_merge
 
 PAGE_ROW = "path string, page int, width double, height double, rotation int, fonts int, images int, text string, error string"
 
 
-def pages(files: DataFrame) -> DataFrame:
-    """A row for each page with its displayed size, counts and text; a file that cannot be read is one row with an error."""
+def pages(files: DataFrame, failed: str | None = None) -> DataFrame:
+    """A row for each page with its displayed size, counts and text; a file that cannot be read is one row with an error.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("rotation", pa.int32()), ("fonts", pa.int32()), ("images", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+    ``failed`` names a column of earlier errors: where it is not null the file is not read, and its row has that error.
+    """
+
+    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("rotation", pa.int32()), ("fonts", pa.int32()), ("images", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for path, raw, before in zip(*batch.columns):
+                name = path.as_py()
+                if before.is_valid:
+                    yield {"path": name, "error": before.as_py()}
+                    continue
                 try:
-                    rows = [{"path": path, **r} for r in pdf.page_rows(pdf.load(raw or b""))]
+                    rows = [{"path": name, **r} for r in pdf.page_rows(pdf.load(raw.as_py() or b""))]
                 except Exception as error:
-                    rows = [{"path": path, "error": f"{type(error).__name__}: {error}"}]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = [{"path": name, "error": f"{type(error).__name__}: {error}"}]
+                yield from rows
 
-    return files.select("path", "content").mapInArrow(run, PAGE_ROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(made(batches), schema)
+
+    before = F.col(failed) if failed else F.lit(None)
+    return files.select("path", "content", before.cast("string").alias("before")).mapInArrow(run, PAGE_ROW)
 
 
 def edited(files: DataFrame, edit: Callable[[pdf.Document], pdf.Document | None]) -> DataFrame:
     """``(path, content, error)`` after an edit; None from it leaves a file out, and an exception is its row's error."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for path, raw in zip(batch.column("path"), batch.column("content")):
                 made, error = None, None
                 try:
-                    doc = edit(pdf.load(raw or b""))
+                    doc = edit(pdf.load(raw.as_py() or b""))
                     made = None if doc is None else pdf.save(doc)
                 except Exception as failure:
                     error = f"{type(failure).__name__}: {failure}"
                 if made is not None or error:
-                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([made], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+                    yield {"path": path.as_py(), "content": made, "error": error}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(rows(batches), schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, content binary, error string")
 
@@ -65,9 +83,14 @@ def merged(files: DataFrame, group: str, order: str) -> DataFrame:
 def from_texts(rows: DataFrame, path: str, text: str, **layout) -> DataFrame:
     """``(path, content)``: each text as a PDF file."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for name, body in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([pdf.save(pdf.from_text(body or "", **layout))], pa.binary())], names=["path", "content"])
+            for name, body in zip(batch.column("path"), batch.column("text")):
+                yield {"path": name.as_py(), "content": pdf.save(pdf.from_text(body.as_py() or "", **layout))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(made(batches), schema)
 
     return rows.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(run, "path string, content binary")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import pixels
+from leafmill.operators.rows import gathered
 from leafmill.sources import frames, jpeg, pdf, rasters
 
 A4 = (595.276, 841.89)
@@ -34,12 +35,17 @@ def as_array(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
 def pictures_of(rows: DataFrame, path: str, data: str, width: int = 64) -> DataFrame:
     """``(path, content)``: bytes as gray PNG files of a width, the last row filled up with zeros; null and empty ones are one row of zeros."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for name, raw in zip(batch.column("path"), batch.column("content")):
-                held = np.frombuffer(raw.as_py() or b"\0", np.uint8)
-                made = rasters.png_file(np.pad(held, (0, -len(held) % width)).reshape(-1, width))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([made], pa.binary())], names=["path", "content"])
+                held = raw.as_py() or b"\0"
+                held += b"\0" * (-len(held) % width)
+                yield {"path": name.as_py(), "content": rasters.png_file(np.frombuffer(held, np.uint8).reshape(-1, width))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(made(batches), schema)
 
     return rows.select(F.col(path).cast("string").alias("path"), F.col(data).cast("binary").alias("content")).mapInArrow(run, "path string, content binary")
 
@@ -81,17 +87,20 @@ def image_document(raw: bytes, *, sheet: tuple[float, float] | None = A4, qualit
 
 
 def _rows(files: DataFrame, schema: pa.Schema, kinds: str, of: Callable[[bytes], Iterator[dict]]) -> DataFrame:
-    """A row for each that ``of`` yields; one with an error, after those before it, where it fails.  Rows leave one by one."""
+    """A row for each that ``of`` yields; one with an error, after those before it, where it fails."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for path, raw in zip(batch.column("path"), batch.column("content")):
                 name = path.as_py()
                 try:
                     for row in of(raw.as_py() or b""):
-                        yield pa.RecordBatch.from_pylist([{"path": name, **row}], schema=schema)
+                        yield {"path": name, **row}
                 except Exception as error:  # one bad file is a row, not the end of the job
-                    yield pa.RecordBatch.from_pylist([{"path": name, "error": f"{type(error).__name__}: {error}"}], schema=schema)
+                    yield {"path": name, "error": f"{type(error).__name__}: {error}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(made(batches), schema)
 
     return files.select("path", "content").mapInArrow(run, kinds)
 
@@ -125,7 +134,7 @@ def fitted(pictures: DataFrame, limit: int, quality: int = 85) -> DataFrame:
     """``(path, content, quality, error)`` of rows of ``decoded``: the best JPEG of at most ``limit`` bytes."""
     schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("quality", pa.int32()), ("error", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for path, *picture in zip(*(batch.column(c) for c in ("path", "data", "width", "height", "channels"))):
                 row = {"path": path.as_py()}
@@ -133,6 +142,9 @@ def fitted(pictures: DataFrame, limit: int, quality: int = 85) -> DataFrame:
                     row["content"], row["quality"] = jpeg.fit(as_array(*(x.as_py() for x in picture)), limit, quality)
                 except Exception as error:
                     row["error"] = f"{type(error).__name__}: {error}"
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                yield row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(made(batches), schema)
 
     return pictures.mapInArrow(run, "path string, content binary, quality int, error string")

@@ -775,9 +775,8 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNG files as JPEGs on pages of PDF files at 96 dots an inch, read back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     made = raster_files.image_documents(raster_files.pictures_of(docs, "doc_id", "text"), sheet=None)
-    read = pdf_files.pages(made.where("error is null")).select("path", "page", "width", "height", "images", "error")
-    failed = made.where("error is not null").select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("width", "double"), ("height", "double"), ("images", "int"))), "error")
-    return read.unionByName(failed).select(F.col("path").cast("bigint").alias("doc_id"), "page", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"), "images", "error")
+    read = pdf_files.pages(made, failed="error")
+    return read.select(F.col("path").cast("bigint").alias("doc_id"), "page", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"), "images", "error")
 
 
 @query(f"""WITH {_SHEETS}, b AS (SELECT *, 10.0 AS x, 20.0 AS y, 30.0 AS w, 5.0 AS h FROM sheets),

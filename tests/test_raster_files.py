@@ -4,9 +4,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from leafmill.operators import raster_files
+from leafmill.operators import pdf_files, raster_files, rows
+from leafmill.plans import queries
 from leafmill.sources import frames, jpeg, pdf, rasters
 
 
@@ -211,3 +213,55 @@ def test_files_as_pages_and_documents(spark, noise, slope):
 def test_pictures_no_larger_than_the_sheet_asks_for(slope):
     (made,) = raster_files.to_jpegs(png(np.tile(slope, (4, 4, 1)), 2, kinds=(2,)), sheet=(72.0, 144.0), dpi=100)
     assert rasters.jpeg_at(made)[1:] == (135, 100)
+
+
+def test_code_lengths_are_the_best_ones():
+    """As whole packages give them, words of equal weight and codes too deep for 16 bits among them."""
+    rng = np.random.default_rng(3)
+    for n, weights in ((1, [5]), (2, [1, 1]), (40, 2 ** np.arange(40)), (162, rng.integers(1, 4, 162)), (90, rng.zipf(1.5, 90) % 10_000 + 1)):
+        counts = np.zeros(256, np.int64)
+        counts[rng.choice(256, n, replace=False)] = weights
+        used = np.flatnonzero(counts)
+        leaves = sorted([(0, (n,)), *((int(counts[s]), (i,)) for i, s in enumerate(used))])
+        row = leaves
+        for _ in range(15):
+            row = sorted(leaves + [(a[0] + b[0], a[1] + b[1]) for a, b in zip(row[::2], row[1::2])], key=lambda x: x[0])
+        within = np.bincount([i for _, held in row[: 2 * len(leaves) - 2] for i in held], minlength=len(leaves))
+        assert (jpeg.code_lengths(counts)[used] == within[:-1]).all() and np.count_nonzero(jpeg.code_lengths(counts)) == n
+
+
+def test_small_rows_share_batches_and_large_ones_do_not():
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    small = list(rows.gathered(({"path": str(i)} for i in range(1000)), schema))
+    assert len(small) == -(-1000 // rows.ROWS) and [p for b in small for p in b.column("path").to_pylist()] == [str(i) for i in range(1000)]
+    large = list(rows.gathered(({"path": "p", "content": bytes(rows.BYTES)} for _ in range(5)), schema))
+    assert [b.num_rows for b in large] == [1] * 5 and not list(rows.gathered([], schema))
+
+
+def test_pictures_leave_in_few_batches(monkeypatch):
+    """A message for each small row took most of the time."""
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    files = Files()
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(500)], "content": [b"x" * (i % 200) for i in range(500)]}, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+    monkeypatch.setattr(raster_files, "F", type("Columns", (), {"col": staticmethod(lambda name: type("Column", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})())}))
+    made = list(raster_files.pictures_of(files, "path", "content")([batch]))
+    read = list(raster_files.pixel_bytes(files)(made))
+    assert len(made) <= 3 and len(read) <= 3
+    found = [d for b in read for d in b.column("data").to_pylist()]
+    assert [d.rstrip(b"\0") for d in found] == [b"x" * (i % 200) for i in range(500)] and {len(d) % 64 for d in found} == {0}
+
+
+def test_image_pages_make_each_file_once(spark):
+    """Files that failed and those that did not come out of one pass."""
+    plan = queries.image_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Union" not in plan
+    files = spark.createDataFrame([("a", bytearray(b"none"), "it failed"), ("b", bytearray(b"none"), None)], "path string, content binary, error string")
+    assert {r.path: r.error for r in pdf_files.pages(files, failed="error").collect()} == {"a": "it failed", "b": "Unreadable: not a PDF file"}
+    assert {r.error for r in pdf_files.pages(files).collect()} == {"Unreadable: not a PDF file"}
